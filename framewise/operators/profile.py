@@ -105,7 +105,7 @@ def _form(value: Column, kind: str) -> Column:
         for k in reversed(range(5)):
             decimals = F.when(whole[k], F.lit(str(k))).otherwise(decimals)
         tens = F.when(F.pmod(F.abs(x), F.lit(10.0)) == 0, F.lit("t")).otherwise(F.lit(""))
-        return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), decimals, tens)
+        return F.when(x.isNotNull(), F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), decimals, tens))
     runs = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"\p{Lu}+", "A"), r"\p{Ll}+", "a"), r"\p{N}+", "9"), r"\s+", "_")
     return F.substring(runs, 1, 3)
 
@@ -244,6 +244,9 @@ def departures(profiled: DataFrame, by: str, limit: float = 8.0) -> DataFrame:
         p = p.withColumn(f"c_{k}", mid(f"x_{k}"))
         p = p.withColumn(f"d_{k}", F.col(f"x_{k}") - F.col(f"c_{k}"))
         p = p.withColumn(f"z_{k}", F.coalesce((F.col(f"d_{k}") if rise else F.abs(F.col(f"d_{k}"))) / F.greatest(1.4826 * mid(F.abs(F.col(f"d_{k}"))), F.lit(floor) + F.lit(0.15 if rise else 0.6) / noise), F.lit(0.0)))
+    # The ends of the range sit where values are rare; they only count if mass moved with them.
+    mass = F.greatest(F.col("z_form"), F.col("z_distribution"), F.lit(0.0))
+    p = p.withColumns({f"z_{k}": F.least(F.col(f"z_{k}"), 3 * mass) for k in ("low", "high")})
     score = F.greatest(*[F.col(f"z_{k}") for k in tested])
     what = F.lit(None).cast("string")
     for k in reversed(tested):
