@@ -113,14 +113,14 @@ def _found(automaton, text: str) -> list[tuple[int, int]]:
     return [(e - n + 1, e + 1) for e, n in automaton.iter(text)] if len(automaton) else []
 
 
-def split_packed(df: DataFrame, column: str, dictionary: DataFrame | None = None, value: str = "value", pos: str = "pos", block: int = BLOCK) -> DataFrame:
+def split_packed(df: DataFrame, column: str, dictionary: DataFrame | None = None, value: str = "value", pos: str = "pos", at_least: int = 1, block: int = BLOCK) -> DataFrame:
     """One row per value of each cell of ``column``, with its place from 1; other columns are kept.
 
     ``dictionary`` (column ``value``) holds known whole values; by default ``known_values`` of the data.
     A cell is searched with an Aho-Corasick automaton and segmented by ``cover``. Marks around a quoted
     value are taken off, doubled marks inside become one; an open quote is an ordinary character.
     Null cells and cells without any value give no row; repeated rows give repeated results. Names that
-    are taken get ``_2``.
+    are taken get ``_2``. Cells with fewer than ``at_least`` values are left out.
 
     Only entries that hold a separator or are parts of cells with several values can change a result, so
     one-value cells never reach Python. The dictionary is counted: up to ``block`` entries it is sent to
@@ -148,8 +148,8 @@ def split_packed(df: DataFrame, column: str, dictionary: DataFrame | None = None
             out = out.withColumn("__fw_m", F.concat("__fw_m", _matching(_send(spark, part))(c)))
         out = out.withColumn("__fw_s", _cover_given(c, F.col("__fw_m")))
     words.unpersist()
-    exploded = out.select(*keep, F.posexplode("__fw_s").alias("__fw_p", value)).select(*keep, (F.col("__fw_p") + 1).alias(pos), value)
-    return one.union(exploded)
+    exploded = out.where(F.size("__fw_s") >= at_least).select(*keep, F.posexplode("__fw_s").alias("__fw_p", value)).select(*keep, (F.col("__fw_p") + 1).alias(pos), value)
+    return exploded if at_least > 1 else one.union(exploded)
 
 
 def _send(spark, words: DataFrame):

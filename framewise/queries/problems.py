@@ -42,10 +42,8 @@ def p1_filled(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "titanic").select("rec_id", "Cabin")
-    several = split_packed(t, "Cabin", value="cabin_value")
-    # Cells with two or more values: those that have a second one.
-    second = several.where("pos = 2").select("rec_id")
-    return several.join(second, "rec_id", "left_semi").select("rec_id", F.col("pos").cast("int"), F.col("cabin_value").alias("cabin"))
+    several = split_packed(t, "Cabin", value="cabin_value", at_least=2)
+    return several.select("rec_id", F.col("pos").cast("int"), F.col("cabin_value").alias("cabin"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
