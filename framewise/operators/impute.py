@@ -9,17 +9,18 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.plans.scale import cut, free_name, join_salted, join_small
+from framewise.plans.scale import compile_small, cut, free_name, join_salted, join_small
 
 #: Written forms that stand for "unknown", compared in lower case without outer spaces.
 UNKNOWN_WORDS = ["", "?", "??", "-", "--", ".", "*", "n/a", "n.a.", "n.a", "na", "nan", "none", "null", "nil", "unk", "unknown", "undefined", "not known", "missing", "u"]
+SPACES = " \t\r\n\u00a0"
 #: Numbers that stand for "unknown" where every true value is at least 0.
 UNKNOWN_NUMBERS = [999.0, 9999.0, 99999.0]
 
 
 def known_text(c: Column, code: str | None = None) -> Column:
     """``c`` without outer spaces, null where it tells no value. What matches the pattern ``code`` is a value even if listed."""
-    text = F.trim(F.regexp_replace(c, r"\s+", " "))
+    text = F.trim(c, F.lit(SPACES))
     unknown = F.lower(text).isin(UNKNOWN_WORDS)
     if code:
         unknown = unknown & ~text.rlike(code)
@@ -42,7 +43,7 @@ class KPrototypesImputer:
     """Fill missing numeric and categorical cells from records of the same group or cluster.
 
     ``values`` maps a column to the expression of its known value (null = missing); ``numeric`` and
-    ``categorical`` name the features of the clustering, as expressions. Each ``target`` is filled by
+    ``categorical`` name the features of the clustering, as expressions (None: the known value of that name). Each ``target`` is filled by
     the first of these that has a value, and ``<target>_method`` tells which:
 
     * ``group``   - the mode of the records with the same ``group_key`` (only ``group_targets``),
@@ -51,10 +52,11 @@ class KPrototypesImputer:
     * ``global``  - the same over all records; ``none`` where no record has a value.
 
     ``<target>_filled`` holds the known or filled value, ``<target>_method`` is null on known cells.
-    Features that a record lacks don't count in its distance; the rest are scaled up in proportion.
+    Features that a record lacks don't count in its distance.
     Prototypes start at the most frequent category combinations and are refined over all rows; every
     pass is one scan with a map-side aggregate by (cluster, categories). Medians are
-    ``percentile_approx`` sketches of accuracy 10,000. Ties take the smaller value; repeated rows
+    ``percentile_approx`` sketches of accuracy 10,000. Ties of modes take the smallest value (in groups:
+    that of the largest hash); repeated rows
     count as often as they occur; an empty table gives an empty result; columns of the input whose
     names clash with new ones stay and the new ones get ``_2``.
     """
@@ -73,39 +75,50 @@ class KPrototypesImputer:
     prototypes: list[tuple[list[float | None], list[int | None]]] = field(default_factory=list)
 
     def _features(self, df: DataFrame) -> DataFrame:
-        cats = {f"__fw_c{i}": F.when(c.isNotNull(), F.xxhash64(c.cast("string"))) for i, c in enumerate(self.categorical.values())}
-        nums = {f"__fw_n{i}": c.cast("double") for i, c in enumerate(self.numeric.values())}
-        return df.withColumns(nums | cats)
+        """``df`` with the known values, and from them the features; two steps, so that each is evaluated once."""
+        known = df.withColumns({f"__fw_v_{t}": c for t, c in self.values.items()})
+        own = lambda name, c: F.col(f"__fw_v_{name}") if c is None else c
+        nums = {f"__fw_n{i}": own(n, c).cast("double") for i, (n, c) in enumerate(self.numeric.items())}
+        cats = {f"__fw_c{i}": F.when(own(n, c).isNotNull(), F.xxhash64(own(n, c).cast("string"))) for i, (n, c) in enumerate(self.categorical.items())}
+        return known.withColumns(nums | cats)
 
     def _names(self) -> tuple[list[str], list[str]]:
         return [f"__fw_n{i}" for i in range(len(self.numeric))], [f"__fw_c{i}" for i in range(len(self.categorical))]
 
-    def _distances(self) -> list[Column]:
+    def _scaled(self, features: DataFrame) -> DataFrame:
+        """Numeric features in standard deviations, within three of the mean; nulls stay null."""
+        nums, _ = self._names()
+        z = {c: (F.col(c) - F.lit(self.center[i])) / F.lit(self.spread[i]) for i, c in enumerate(nums)}
+        return features.withColumns(z).withColumns({c: F.when(F.col(c) > 3, F.lit(3.0)).when(F.col(c) < -3, F.lit(-3.0)).otherwise(F.col(c)) for c in nums})
+
+    def _clustered(self, scaled: DataFrame) -> DataFrame:
+        """``scaled`` with the nearest prototype in ``__fw_cluster``.
+
+        Only what differs between prototypes is computed: of (z - m)^2 over a row's known features
+        m^2 - 2 z m, of the mismatches minus the matches; what all prototypes share, and the scaling by the
+        number of known features, can't change which is nearest. Features enter as plain non-null numbers, so the generated
+        code stays small enough to be compiled.
+        """
         nums, cats = self._names()
-        p = len(nums) + len(cats)
-        seen = sum((F.col(c).isNotNull().cast("int") for c in nums + cats), F.lit(0))
-        scale = F.when(seen > 0, F.lit(float(p)) / seen).otherwise(F.lit(0.0))
-        found = []
+        plain = {f"__fw_z{i}": F.coalesce(F.col(c), F.lit(0.0)) for i, c in enumerate(nums)} | {f"__fw_o{i}": F.when(F.col(c).isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0)) for i, c in enumerate(nums)}
+        plain |= {f"__fw_x{i}": F.coalesce(F.col(c), F.lit(0).cast("long")) for i, c in enumerate(cats)}
+        scores = []
         for means, modes in self.prototypes:
-            parts: list[Column] = []
-            for i, c in enumerate(nums):
-                if means[i] is not None:
-                    z = F.greatest(F.least((F.col(c) - F.lit(self.center[i])) / F.lit(self.spread[i]), F.lit(3.0)), F.lit(-3.0)) - F.lit(means[i])
-                    parts.append(F.coalesce(z * z, F.lit(0.0)))
-            for i, c in enumerate(cats):
-                if modes[i] is not None:
-                    parts.append(F.when(F.col(c) != F.lit(modes[i]), F.lit(self.gamma)).otherwise(F.lit(0.0)))
-            found.append(sum(parts[1:], parts[0]) * scale if parts else F.lit(0.0))
-        return found
-
-    def _clustered(self, features: DataFrame) -> DataFrame:
-        return features.withColumn("__fw_d", F.array(*self._distances())).withColumn("__fw_cluster", F.array_position("__fw_d", F.array_min("__fw_d")).cast("int") - 1).drop("__fw_d")
+            score = F.lit(0.0)
+            for i, m in enumerate(means):
+                if m is not None:
+                    score = score + F.lit(m * m) * F.col(f"__fw_o{i}") - F.lit(2 * m) * F.col(f"__fw_z{i}")
+            for i, m in enumerate(modes):
+                if m is not None:
+                    score = score - F.when(F.col(f"__fw_x{i}") == F.lit(m).cast("long"), F.lit(self.gamma)).otherwise(F.lit(0.0))
+            scores.append(score)
+        work = scaled.withColumns(plain).withColumn("__fw_d", F.array(*scores)).drop(*plain)
+        return work.withColumn("__fw_cluster", F.array_position("__fw_d", F.array_min("__fw_d")).cast("int") - 1).drop("__fw_d")
 
     def _summary(self, clustered: DataFrame) -> list:
         """Means and modes by cluster, from one scan: rows (cluster, column, mean or mode)."""
         nums, cats = self._names()
-        z = [F.greatest(F.least((F.col(c) - F.lit(self.center[i])) / F.lit(self.spread[i]), F.lit(3.0)), F.lit(-3.0)) for i, c in enumerate(nums)]
-        cells = clustered.groupBy("__fw_cluster", *cats).agg(F.count(F.lit(1)).alias("n"), *[F.sum(z[i]).alias(f"s{i}") for i in range(len(nums))], *[F.count(c).alias(f"m{i}") for i, c in enumerate(nums)])
+        cells = clustered.groupBy("__fw_cluster", *cats).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(nums)], *[F.count(c).alias(f"m{i}") for i, c in enumerate(nums)])
         parts = F.array(
             *[F.struct(F.lit(f"n{i}").alias("what"), F.lit(None).cast("long").alias("code"), F.col(f"s{i}").alias("s"), F.col(f"m{i}").alias("m")) for i in range(len(nums))],
             *[F.struct(F.lit(f"c{i}").alias("what"), F.col(c).alias("code"), F.lit(None).cast("double").alias("s"), F.when(F.col(c).isNotNull(), F.col("n")).otherwise(F.lit(0)).alias("m")) for i, c in enumerate(cats)],
@@ -115,14 +128,16 @@ class KPrototypesImputer:
 
     def fit(self, df: DataFrame) -> "KPrototypesImputer":
         """Refine the prototypes over all rows of ``df``."""
+        compile_small(df.sparkSession)
         nums, cats = self._names()
         features = self._features(df).select(*nums, *cats)
-        row = features.agg(*[F.avg(c) for c in nums], *[F.stddev_pop(F.greatest(F.least(F.col(c), F.lit(1e12)), F.lit(-1e12))) for c in nums], F.count(F.lit(1))).first()
+        bounded = [F.when(F.abs(F.col(c)) < 1e12, F.col(c)) for c in nums]
+        row = features.agg(*[F.avg(c) for c in bounded], *[F.stddev_pop(c) for c in bounded]).first()
         self.center = [float(x or 0.0) for x in row[: len(nums)]]
         self.spread = [float(x) if x and math.isfinite(x) else 1.0 for x in row[len(nums) : 2 * len(nums)]]
-        z = [(F.col(c) - F.lit(self.center[i])) / F.lit(self.spread[i]) for i, c in enumerate(nums)]
-        first = features.groupBy(*cats).agg(F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(f"z{i}") for i, x in enumerate(z)]).orderBy(F.desc("n"), *cats).limit(self.k).collect()
-        self.prototypes = [([r[f"z{i}"] for i in range(len(nums))], [r[c] for c in cats]) for r in first]
+        features = self._scaled(features)
+        first = features.groupBy(*cats).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in nums]).orderBy(F.desc("n"), *cats).limit(self.k).collect()
+        self.prototypes = [([r[c] for c in nums], [r[c] for c in cats]) for r in first]
         for _ in range(self.max_iter if self.prototypes else 0):
             rows = self._summary(self._clustered(features))
             means: dict[int, list] = {r["__fw_cluster"]: [None] * len(nums) for r in rows}
@@ -134,7 +149,7 @@ class KPrototypesImputer:
                 else:
                     modes[r["__fw_cluster"]][i] = r["code"]
             new = [(means.get(j, a), modes.get(j, b)) for j, (a, b) in enumerate(self.prototypes)]
-            moved = max((abs((x or 0.0) - (y or 0.0)) for (a, p), (b, q) in zip(new, self.prototypes) for x, y in zip(a, b)), default=0.0)
+            moved = max((abs((x or 0.0) - (y or 0.0)) for (a, _), (b, _) in zip(new, self.prototypes) for x, y in zip(a, b)), default=0.0)
             same = all(p == q for (_, p), (_, q) in zip(new, self.prototypes))
             self.prototypes = new
             if same and moved < self.tol:
@@ -149,23 +164,26 @@ class KPrototypesImputer:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with ``<target>_filled`` and ``<target>_method``."""
+        compile_small(df.sparkSession)
         if not self.prototypes:
             self.fit(df)
         value = {t: f"__fw_v_{t}" for t in self.targets}
         parent = [f"__fw_p{i}" for i in range(len(self.parent))]
-        known = self._features(df).withColumns({v: self.values[t] for t, v in value.items()} | {p: self.values[c] for p, c in zip(parent, self.parent)})
-        rows = self._clustered(known) if self.prototypes else known.withColumn("__fw_cluster", F.lit(0))
-        # One table of typical values for every level: clusters, parents, all. Rows: k + parents + 1.
-        level = rows.select("__fw_cluster", *parent, *value.values())
+        known = self._features(df).withColumns({p: F.col(f"__fw_v_{c}") for p, c in zip(parent, self.parent)})
+        rows = self._clustered(self._scaled(known)) if self.prototypes else known.withColumn("__fw_cluster", F.lit(0))
+        # Typical values of every level: k clusters, the parents, all.
         agg = [self._typical(t, v).alias(f"__fw_t_{t}") for t, v in value.items()]
-        by_cluster = cut(level.groupBy("__fw_cluster").agg(*agg))
-        everyone = level.agg(*[a.alias(f"__fw_g_{t}") for a, t in zip(agg, value)])
+        by_cluster = cut(rows.groupBy("__fw_cluster").agg(*agg))
+        everyone = cut(known.agg(*[a.alias(f"__fw_g_{t}") for a, t in zip(agg, value)]))
+        if self.group_key is not None and self.group_targets:
+            rows = self._with_groups(known.withColumn("__fw_key", self.group_key), rows.withColumn("__fw_key", self.group_key), value)
         rows = rows.join(F.broadcast(by_cluster), "__fw_cluster", "left").join(F.broadcast(everyone))  # k rows, and one row
         if parent:
-            by_parent = cut(level.where(F.forall(F.array(*[F.col(p).isNotNull() for p in parent]), lambda x: x)).groupBy(*parent).agg(*[a.alias(f"__fw_u_{t}") for a, t in zip(agg, value)]))
+            whole = F.lit(True)
+            for p in parent:
+                whole = whole & F.col(p).isNotNull()
+            by_parent = cut(known.where(whole).groupBy(*parent).agg(*[a.alias(f"__fw_u_{t}") for a, t in zip(agg, value)]))
             rows = join_small(rows, by_parent, parent)
-        if self.group_key is not None and self.group_targets:
-            rows = self._with_groups(rows, value)
         out: dict[str, Column] = {}
         taken = list(df.columns)
         for t, v in value.items():
@@ -181,14 +199,16 @@ class KPrototypesImputer:
                 out[got] = c
         return rows.select(*[F.col(f"`{c}`") for c in df.columns], *[c.alias(n) for n, c in out.items()])
 
-    def _with_groups(self, rows: DataFrame, value: Mapping[str, str]) -> DataFrame:
+    def _with_groups(self, known: DataFrame, rows: DataFrame, value: Mapping[str, str]) -> DataFrame:
         """Modes by group, looked up only for the rows that lack a group target; the others bypass the shuffle."""
         targets = [t for t in self.targets if t in self.group_targets]
-        rows = rows.withColumn("__fw_key", self.group_key)
-        lacking = F.col("__fw_key").isNotNull() & F.exists(F.array(*[F.col(value[t]).isNull() for t in targets]), lambda x: x)
-        need, rest = rows.where(lacking), rows.where(~F.coalesce(lacking, F.lit(False)))
-        keys = need.select("__fw_key").distinct()
-        joint = rows.where("__fw_key is not null").groupBy("__fw_key", *[value[t] for t in targets]).agg(F.count(F.lit(1)).alias("n"))
+        lacking = F.lit(False)
+        for t in targets:
+            lacking = lacking | F.col(value[t]).isNull()
+        lacking = lacking & F.col("__fw_key").isNotNull()
+        need, rest = rows.where(lacking), rows.where(~lacking)
+        keys = known.where(lacking).select("__fw_key").distinct()
+        joint = known.where("__fw_key is not null").groupBy("__fw_key", *[value[t] for t in targets]).agg(F.count(F.lit(1)).alias("n"))
         cells = joint.join(keys, "__fw_key", "left_semi").select("__fw_key", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(value[t]).cast("string").alias("v"), F.col("n")) for t in targets])).alias("c"))
         modes = cells.where("c.v is not null").groupBy("__fw_key", "c.t", "c.v").agg(F.sum("c.n").alias("n"))
         kind = dict(rows.dtypes)

@@ -25,6 +25,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compile_small(spark: SparkSession) -> None:
+    """Have generated methods over 8,000 bytes split: the JVM never compiles larger ones, it interprets them."""
+    if int(spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535")) > 8000:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
     """Equi-join a large side with one that is expected, but not known, to be small.
 

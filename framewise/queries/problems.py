@@ -20,13 +20,13 @@ FILLED = ["Age", "Embarked", "Pclass", "Sex"]
 def sex_value(c) -> object:
     """The sex a cell tells, in one spelling."""
     text = F.lower(known_text(c))
-    return F.when(text.startswith("m"), F.lit("male")).when(text.startswith("f") | text.startswith("w"), F.lit("female")).otherwise(text)
+    return F.coalesce(F.get(F.array(F.lit("male"), F.lit("female"), F.lit("female")), F.instr(F.lit("mfw"), F.substring(text, 1, 1)) - 1), text)
 
 
 def titanic_imputer() -> KPrototypesImputer:
     values = {"Age": known_number(F.col("Age")), "Embarked": known_text(F.col("Embarked"), r"\A[A-Z]{1,3}\z"), "Pclass": known_code(F.col("Pclass"), [1, 2, 3]), "Sex": sex_value(F.col("Sex"))}
-    numeric = {"Age": values["Age"], "Fare": F.log1p(F.abs(known_number(F.col("Fare")))), "SibSp": F.col("SibSp"), "Parch": F.col("Parch")}
-    categorical = {"Sex": values["Sex"], "Pclass": values["Pclass"], "Embarked": values["Embarked"]}
+    numeric = {"Age": None, "Fare": F.log1p(F.abs(known_number(F.col("Fare")))), "SibSp": F.col("SibSp"), "Parch": F.col("Parch")}
+    categorical = {"Sex": None, "Pclass": None, "Embarked": None}
     return KPrototypesImputer(values=values, targets=FILLED, numeric=numeric, categorical=categorical, parent=["Pclass", "Sex"], group_key=F.col("Ticket"), group_targets=["Embarked", "Pclass"])
 
 
