@@ -93,4 +93,4 @@ vector_udf = VectorUdf
 
 def expr_of(f: Any) -> Column:
     """The Spark column of a ``Col``, ``Udf``, Spark column or constant."""
-    return f.expr if hasattr(f, "expr") else f if isinstance(f, Column) else F.lit(f)
+    return f.expr if isinstance(f, (Col, Udf, VectorUdf)) else f if isinstance(f, Column) else F.lit(f)

@@ -27,7 +27,7 @@ class ExpressionError(ValueError):
     """The text isn't an expression of the language."""
 
 
-def _prepare(text: str) -> tuple[str, dict[str, str], set[str]]:
+def _prepare(text: str) -> tuple[str, dict[str, str]]:
     """Python source with quoted names and variables made plain names, and ``&``/``|`` made ``and``/``or``."""
     quoted: dict[str, str] = {}
     out, i = [], 0
@@ -54,11 +54,11 @@ def _prepare(text: str) -> tuple[str, dict[str, str], set[str]]:
             i += 1
     source = "".join(out).strip()
     try:
-        tokens = [(t.type, {"&": "and", "|": "or"}.get(t.string, t.string) if t.type == tokenize.OP else t.string) for t in tokenize.generate_tokens(io.StringIO(source).readline)]
+        words = {"&": "and", "|": "or"}
+        tokens = [(tokenize.NAME, words[t.string]) if t.type == tokenize.OP and t.string in words else (t.type, t.string) for t in tokenize.generate_tokens(io.StringIO(source).readline)]
     except (tokenize.TokenError, IndentationError) as e:
         raise ExpressionError(f"{text!r}: {e}") from None
-    names = {s for k, s in tokens if k == tokenize.NAME}
-    return tokenize.untokenize(tokens), quoted, names
+    return tokenize.untokenize(tokens), quoted
 
 
 class _Compiler:
@@ -170,7 +170,7 @@ def compile_expression(text: str, columns: Mapping[str, Column], env: Mapping[st
     """The Spark column of an expression over ``columns``; ``env`` holds the Python variables for ``@``."""
     if not text or not text.strip():
         raise ExpressionError("empty expression")
-    source, quoted, _ = _prepare(text)
+    source, quoted = _prepare(text)
     try:
         tree = ast.parse(source.strip(), mode="eval")
     except SyntaxError as e:

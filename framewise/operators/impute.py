@@ -136,7 +136,11 @@ class KPrototypesImputer:
         self.center = [float(x or 0.0) for x in row[: len(nums)]]
         self.spread = [float(x) if x and math.isfinite(x) else 1.0 for x in row[len(nums) : 2 * len(nums)]]
         features = self._scaled(features)
-        first = features.groupBy(*cats).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in nums]).orderBy(F.desc("n"), *cats).limit(self.k).collect()
+        first = features.groupBy(*cats).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in nums])
+        whole = F.lit(True)
+        for c in cats:
+            whole = whole & F.col(c).isNotNull()
+        first = first.orderBy(F.desc(whole), F.desc("n"), *cats).limit(self.k).collect()  # complete combinations first
         self.prototypes = [([r[c] for c in nums], [r[c] for c in cats]) for r in first]
         for _ in range(self.max_iter if self.prototypes else 0):
             rows = self._summary(self._clustered(features))

@@ -92,8 +92,8 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | No
             out[c] = None
             continue
         ranks = [(n + 1) // 2, n // 2 + 1]
-        one = df.select(F.lit(0).alias("__fw_all"), F.col(f"`{c}`").alias("__fw_x"))
-        row = key_profile(one, ["__fw_all"], "__fw_x", [r / n for r in ranks] if ranks[0] != ranks[1] else [ranks[0] / n]).first()
+        one = df.select(F.lit(0).alias("__fw_one"), F.col(f"`{c}`").alias("__fw_x"))
+        row = key_profile(one, ["__fw_one"], "__fw_x", [r / n for r in ranks] if ranks[0] != ranks[1] else [ranks[0] / n]).first()
         got = list(row)[-(1 if ranks[0] == ranks[1] else 2) :]
         out[c] = sum(got) / len(got)
     return out

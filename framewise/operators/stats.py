@@ -40,8 +40,10 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 def correlation(df: DataFrame, a: str, b: str) -> float:
     """Pearson correlation to 5 decimals; NaN if a deviation is 0."""
-    r = df.select(F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double"))).first()[0]
-    return float("nan") if r is None or math.isnan(r) else round(r, 5)
+    x, y = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
+    both = df.where(x.isNotNull() & y.isNotNull())
+    c, sx, sy = both.agg(F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y)).first()
+    return round(c / sx / sy, 5) if c is not None and sx and sy else float("nan")
 
 
 def covariance(df: DataFrame, a: str, b: str) -> float:

@@ -506,7 +506,7 @@ def count_vec_vocabulary(t, spark):
     return spark.createDataFrame([(w, d, i) for i, (w, d) in enumerate(zip(m.vocabulary, m.doc_freq))], "term string, df long, place long")
 
 
-@query(f"WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), x AS (SELECT doc_id, unnest(w) AS term FROM t), v AS (SELECT term FROM x GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 3), o AS (SELECT term, row_number() OVER (ORDER BY term) AS r FROM v) SELECT doc_id, " + ", ".join(f"len(list_filter(w, lambda y: y = (SELECT term FROM o WHERE r = {i + 1})))::INT AS n{i}" for i in range(3)) + " FROM t")
+@query(f"WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), x AS (SELECT doc_id, unnest(w) AS term FROM t), v AS (SELECT term FROM x GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 3), o AS (SELECT term, row_number() OVER (ORDER BY term) AS r FROM v), c AS (SELECT doc_id, r FROM x JOIN o USING (term)) SELECT doc_id, " + ", ".join(f"coalesce(sum((r = {i + 1})::INT), 0)::INT AS n{i}" for i in range(3)) + " FROM documents LEFT JOIN c USING (doc_id) GROUP BY 1")
 def count_vec(t, spark):
     f = Tokenizer().transform(t("documents").select(["doc_id", "text"]), "text", "w")
     return CountVectorizer(vocab_size=3, binary=False).fit_transform(f, "w", output_col="n", remove=True).drop("text")
@@ -628,13 +628,13 @@ def fpgrowth(t, spark):
 
 
 @query(
-    f"""WITH b AS ({_BASKETS}), n AS (SELECT floor(0.3 * count(*) + 0.5) AS least FROM b), i AS (SELECT l_orderkey o, unnest(b) AS x FROM b),
+    f"""WITH b AS ({_BASKETS}), n AS (SELECT floor(0.2 * count(*) + 0.5) AS least FROM b), i AS (SELECT l_orderkey o, unnest(b) AS x FROM b),
     one AS (SELECT x, count(*) AS c FROM i GROUP BY 1), two AS (SELECT a.x p, c.x q, count(*) AS c FROM i a JOIN i c ON a.o = c.o AND a.x <> c.x GROUP BY 1, 2)
-    SELECT [p] AS "Pre-Rule", [q] AS "Post-Rule", round(two.c / one.c, 6) AS confidence FROM two JOIN one ON p = x, n WHERE two.c >= least AND two.c / one.c >= 0.4"""
+    SELECT [p] AS "Pre-Rule", [q] AS "Post-Rule", round(two.c / one.c, 6) AS confidence FROM two JOIN one ON p = x, n WHERE two.c >= least AND two.c / one.c >= 0.3"""
 )
 def assoc_rules(t, spark):
-    sets = Frame(FPGrowth(0.3).fit_transform(_baskets(t), "b").df.where(F.size("items") <= 2))
-    return rounded(AssociationRules(0.4).fit_transform(sets))
+    sets = Frame(FPGrowth(0.2).fit_transform(_baskets(t), "b").df.where(F.size("items") <= 2))
+    return rounded(AssociationRules(0.3).fit_transform(sets))
 
 
 def _predicted(t):
@@ -695,10 +695,10 @@ def geo_within(t, spark):
     return points.geo_within(shapes, "lat", "lon", attributes=["area"]).select(["c_custkey", "area"])
 
 
-@query("SELECT fix_id, round(6378137 * ln(tan(pi() / 4 + radians(lat) / 2)), 3) AS lat, round(6378137 * radians(lon), 3) AS lon FROM (SELECT fix_id, TRY_CAST(replace(LAT, ',', '.') AS DOUBLE) AS lat, TRY_CAST(replace(LON, ',', '.') AS DOUBLE) AS lon FROM gps)")
+@query("SELECT fix_id, round(6378137 * ln(tan(pi() / 4 + radians(lat) / 2)), 3) AS lat, round(6378137 * radians(lon), 3) AS lon FROM (SELECT fix_id, TRY_CAST(replace(LAT, ',', '.') AS DOUBLE) AS lat, TRY_CAST(replace(LON, ',', '.') AS DOUBLE) AS lon FROM gps) WHERE lat <> 0 AND lon <> 0")
 def crst_mercator(t, spark):
     number = lambda c: F.replace(F.col(c), F.lit(","), F.lit(".")).try_cast("double")
-    f = Frame(t("gps").df.select("fix_id", number("LAT").alias("lat"), number("LON").alias("lon")))
+    f = Frame(t("gps").df.select("fix_id", number("LAT").alias("lat"), number("LON").alias("lon")).where("lat <> 0 AND lon <> 0"))
     return rounded(f.crst_transform("lat", "lon", 4326, 3857), 3)
 
 
