@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewise.operators.graph import connected_components
 from framewise.plans.scale import cut, join_small
 
 
@@ -38,8 +39,9 @@ def markov_cluster(edges: DataFrame, inflation: float = 2.0, prune: float = 0.01
     columns of the matrix are made stochastic; then it is squared by a join on the inner index with a
     map-side sum, entries under ``prune`` are dropped (never a column's largest), the rest are raised to ``inflation`` and made stochastic
     again, until every column is nearly one entry. Pruning bounds a column to 1 / ``prune``
-    entries, so a squaring has at most nodes / prune^2 products. Every node's attractor is the
-    row of its strongest entry (ties: the smallest id); ``flow`` is the row's sum there.
+    entries, so a squaring has at most nodes / prune^2 products. In the limit the rows with entries are the
+    attractors, and the connected parts of the matrix the clusters (several attractors that share columns are one
+    cluster). ``flow`` is a node's row sum, ``attractor`` the node of a cluster's largest (ties: the smallest id).
     """
     def stochastic(m: DataFrame) -> DataFrame:
         return m.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("j"))).select("i", "j", "p")
@@ -55,24 +57,12 @@ def markov_cluster(edges: DataFrame, inflation: float = 2.0, prune: float = 0.01
         chaos = m.groupBy("j").agg((F.max("p") - F.sum(F.col("p") * F.col("p"))).alias("c")).agg(F.max("c")).first()[0]
         if chaos is None or chaos < tol:
             break
-    best = m.groupBy("j").agg(F.max_by("i", F.struct("p", -F.col("i"))).alias("attractor"))
-    flow = m.groupBy(F.col("i").alias("attractor")).agg(F.sum("p").alias("flow"))
-    return best.join(flow, "attractor").select(F.col("j").alias("node"), "attractor", "flow")
-
-
-def connected(nodes: DataFrame, links: DataFrame, max_iter: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable over undirected ``links`` (a, b); labels spread and jump until stable."""
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    label = cut(nodes.select("node", F.col("node").alias("component")))
-    for _ in range(max_iter):
-        seen = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("c"))
-        one = label.join(seen, label["node"] == seen["a"], "left").select("node", F.least("component", F.coalesce("c", "component")).alias("component"), F.col("component").alias("old"))
-        jump = one.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
-        two = cut(one.join(jump, one["component"] == jump["n2"], "left").select("node", F.least("component", F.coalesce("c2", "component")).alias("component"), "old"))
-        label = two.select("node", "component")
-        if two.where("component < old").isEmpty():
-            break
-    return label
+    flow = m.groupBy(F.col("i").alias("node")).agg(F.sum("p").alias("flow"))
+    nodes = m.select(F.col("j").alias("node")).distinct()
+    parts = connected_components(nodes, m.where("i <> j").select(F.col("i").alias("a"), F.col("j").alias("b")))
+    known = cut(parts.join(flow, "node", "left").select("node", "component", F.coalesce("flow", F.lit(0.0)).alias("flow")))
+    strongest = known.groupBy("component").agg(F.max_by("node", F.struct(F.round("flow", 9), -F.col("node"))).alias("attractor"))
+    return known.join(strongest, "component").select("node", "attractor", "flow")
 
 
 def similarity_clusters(df: DataFrame, record_id: str, measures: Sequence[str], cells: Sequence[float] = (0.1, 0.15, 0.2, 0.3), least: int = 8, dense_share: float = 0.9, saddle: float = 0.2, inflation: float = 2.0, prune: float = 0.01) -> Clusters:
@@ -83,7 +73,7 @@ def similarity_clusters(df: DataFrame, record_id: str, measures: Sequence[str],
 
     1. Records are counted by grid cell (one map-side aggregate); from here on the work grows with the
        occupied cells, not the records. A cell's density is the count over it and its neighbours.
-    2. The background is the median density of coarse cells. Cells are dense from ``least`` records and
+    2. The background is the lower quartile of the densities of coarse cells. Cells are dense from ``least`` records and
        from eight standard deviations over the background. The smallest size out of ``cells`` is taken
        at which ``dense_share`` of the records lie in dense cells, else the largest.
     3. Dense cells are the nodes of a similarity graph: neighbours, weighted by a Gaussian of their
@@ -107,13 +97,13 @@ def similarity_clusters(df: DataFrame, record_id: str, measures: Sequence[str],
         placed = points.withColumns({c: F.floor(F.round(F.col(f"x{i}") / F.lit(float(h)), 6)).cast("long") for i, c in enumerate(g)})
         grid = placed.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least_id"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(d)]).withColumn("cell", _key(g))
         grid = cut(grid)
-        coarse = grid.groupBy(*[F.floor(F.col(c) / 5).alias(c) for c in g]).agg(F.sum("n").alias("n")).agg(F.percentile_approx("n", 0.5, 10_000), F.sum("n")).first()
+        coarse = grid.groupBy(*[F.floor(F.col(c) / 5).alias(c) for c in g]).agg(F.sum("n").alias("n")).agg(F.percentile_approx("n", 0.25, 10_000), F.sum("n")).first()
         if coarse[1] is None:
             base, total = 0.0, 0
         else:
             base, total = float(coarse[0]) * (3 / 5) ** d, int(coarse[1])
         over = base + 8 * math.sqrt(base)
-        floor = max(float(least), over)
+        floor = max(float(least), over) if base >= 0.5 else float(least)  # a thinner background doesn't make up eight by chance
         reach = grid.select(_near(g).alias("cell"), "n").groupBy("cell").agg(F.sum("n").alias("density"))
         known = cut(grid.join(reach, "cell"))
         dense = known.where(F.col("density") >= floor)
@@ -133,7 +123,7 @@ def similarity_clusters(df: DataFrame, record_id: str, measures: Sequence[str],
     of = flow.select("node", "attractor")
     touching = ends.join(of.select(F.col("node").alias("i"), F.col("attractor").alias("a")), "i").join(of.select(F.col("node").alias("j"), F.col("attractor").alias("b")), "j").where("a < b").groupBy("a", "b").agg(F.max("between").alias("between"))
     joined = touching.join(peak.select(F.col("attractor").alias("a"), F.col("peak").alias("pa")), "a").join(peak.select(F.col("attractor").alias("b"), F.col("peak").alias("pb")), "b").where(F.col("between") >= F.lit(saddle) * F.least("pa", "pb"))
-    groups = connected(peak.select(F.col("attractor").alias("node")), joined.select("a", "b"))
+    groups = connected_components(peak.select(F.col("attractor").alias("node")), joined.select("a", "b"))
     cluster_of = flow.join(groups.withColumnRenamed("node", "attractor"), "attractor").select("node", "component", "flow")
     core = cut(nodes.select("node", "cell", *g, "density").join(cluster_of, "node"))
 
@@ -146,7 +136,7 @@ def similarity_clusters(df: DataFrame, record_id: str, measures: Sequence[str],
     cells_of = cut(space.join(totals.select("component", "cluster_key"), "component").select(*g, "cluster_key"))
     members = join_small(placed.select("id", *g), cells_of, g, "inner").select(F.col("id").alias(record_id), "cluster_key")
 
-    strongest = space.where("flow > 0").withColumn("place", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("flow"), F.desc("n"), *g))).where("place <= 3")  # cells, not records
+    strongest = space.withColumn("place", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("flow"), F.desc("n"), *g))).where("place <= 3")  # cells, not records
     centres = cut(strongest.select("component", "place", *g, *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(d)]))
     away = sum((F.pow(F.col(f"x{i}") - F.col(f"m{i}"), F.lit(2.0)) for i in range(d)), F.lit(0.0))
     typical = join_small(placed, centres, g, "inner").groupBy("component", "place").agg(F.min_by("id", F.struct(away, F.col("id"))).alias("id"))
