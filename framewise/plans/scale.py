@@ -22,7 +22,12 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framewise-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    # A checkpoint keeps the size that its plan was estimated at, and a join multiplies its sides' sizes: over the rounds
+    # of a loop the estimate doubles its digits each time. A frame over the stored rows alone has none; adaptive
+    # execution then decides by the real sizes.
+    rows = done._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
 
 
 def compile_small(spark: SparkSession) -> None:
