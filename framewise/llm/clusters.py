@@ -50,7 +50,7 @@ def markov_cluster(edges: DataFrame, inflation: float = 2.0, prune: float = 0.01
     for _ in range(max_iter):
         left = m.select(F.col("i"), F.col("j").alias("k"), F.col("p").alias("a"))
         right = m.select(F.col("i").alias("k"), F.col("j"), F.col("p").alias("b"))
-        square = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("p"))
+        square = left.join(right.hint("merge"), "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("p"))
         top = F.max("p").over(Window.partitionBy("j"))
         kept = square.withColumn("top", top).where((F.col("p") >= prune) | (F.col("p") == F.col("top")))
         m = cut(stochastic(kept.select("i", "j", F.pow("p", F.lit(float(inflation))).alias("w"))))
@@ -105,7 +105,7 @@ def similarity_clusters(df: DataFrame, record_id: str, measures: Sequence[str],
         over = base + 8 * math.sqrt(base)
         floor = max(float(least), over) if base >= 0.5 else float(least)  # a thinner background doesn't make up eight by chance
         reach = grid.select(_near(g).alias("cell"), "n").groupBy("cell").agg(F.sum("n").alias("density"))
-        known = cut(grid.join(reach, "cell"))
+        known = cut(reach.join(grid.hint("shuffle_hash"), "cell"))  # the planner underrates exploded sides: no broadcast of them
         dense = known.where(F.col("density") >= floor)
         inside = dense.agg(F.sum("n")).first()[0] or 0
         if inside >= dense_share * total:
@@ -113,7 +113,7 @@ def similarity_clusters(df: DataFrame, record_id: str, measures: Sequence[str],
 
     nodes = cut(dense.select("cell", *g, F.col("n"), "density").withColumn("node", F.xxhash64("cell")))
     pairs = nodes.select(F.col("node").alias("j"), *[F.col(c).alias(f"j{i}") for i, c in enumerate(g)], F.col("density").alias("dj"), _near(g).alias("cell"))
-    near = pairs.join(nodes.select("cell", F.col("node").alias("i"), *[F.col(c).alias(f"i{k}") for k, c in enumerate(g)], F.col("density").alias("di")), "cell")
+    near = pairs.join(nodes.select("cell", F.col("node").alias("i"), *[F.col(c).alias(f"i{k}") for k, c in enumerate(g)], F.col("density").alias("di")).hint("shuffle_hash"), "cell")
     gap = sum((F.pow(F.col(f"i{k}") - F.col(f"j{k}"), F.lit(2.0)) for k in range(d)), F.lit(0.0))
     near = cut(near.select("i", "j", "di", "dj", (F.exp(-gap / 2) * F.col("di")).alias("w")))
     flow = cut(markov_cluster(near, inflation, prune))
@@ -128,7 +128,7 @@ def similarity_clusters(df: DataFrame, record_id: str, measures: Sequence[str],
     core = cut(nodes.select("node", "cell", *g, "density").join(cluster_of, "node"))
 
     fringe = core.select(_near(g).alias("cell"), "component", "density").groupBy("cell").agg(F.max_by("component", F.struct("density", "component")).alias("beside"))
-    space = known.join(fringe, "cell").join(core.select("cell", "component", "flow"), "cell", "left")
+    space = fringe.join(known.hint("shuffle_hash"), "cell").join(core.select("cell", "component", "flow"), "cell", "left")
     space = space.where((F.col("component").isNotNull()) | (F.col("density") >= F.lit(over + 1))).withColumn("component", F.coalesce("component", "beside"))
     space = cut(space.select("cell", *g, "n", "least_id", "component", F.coalesce("flow", F.lit(0.0)).alias("flow"), *[f"s{i}" for i in range(d)]))
     totals = space.groupBy("component").agg(F.sum("n").alias("size"), F.min("least_id").alias("cluster_key"), *[(F.sum(f"s{i}") / F.sum("n")).alias(f"mean_{m}") for i, m in enumerate(measures)]).where(F.col("size") >= least)
