@@ -132,22 +132,23 @@ class CountVectorizer(Model):
         self.vocabulary, self.doc_freq, self.n_docs = [r["w"] for r in best], [r["df"] for r in best], df.count()
         return self
 
-    def _counts(self, df: DataFrame) -> Column:
-        """Counts of the vocabulary's terms as one array, from one walk over the tokens."""
+    def _counted(self, df: DataFrame) -> DataFrame:
+        """``df`` with the counts of the vocabulary's terms as the array ``__fw_vector``. What lambdas use are columns, not computed again for every element."""
+        if not self.vocabulary:
+            return df.withColumn("__fw_vector", F.array())
+        work = df.withColumn("__fw_tokens", F.coalesce(_tokens(df, self.input_col), F.array().cast("array<string>")))
         vocab = F.array(*[F.lit(w) for w in self.vocabulary])
-        tokens = F.coalesce(_tokens(df, self.input_col), F.array().cast("array<string>"))
-        return F.transform(vocab, lambda w: F.size(F.filter(tokens, lambda t: t == w)))
+        return work.withColumn("__fw_vector", F.transform(vocab, lambda w: F.size(F.filter("__fw_tokens", lambda t: t == w))))
 
-    def _vector(self, counts: Column) -> Column:
-        return F.transform(counts, lambda n: (n > 0).cast("int")) if self.binary else counts
+    def _vectors(self, work: DataFrame) -> DataFrame:
+        return work.withColumn("__fw_vector", F.transform("__fw_vector", lambda n: (n > 0).cast("int"))) if self.binary else work
 
     def transform(self, data: Frame, input_col=None, output_col: str | None = None, remove: bool = False) -> Frame:
         self.check_fitted()
         if input_col:
             self.input_col = names(input_col)[0]
         df, out = spark_df(data), output_col or f"{self.input_col}_vectorized"
-        work = df.withColumn("__fw_counts", self._counts(df)) if self.vocabulary else df.withColumn("__fw_counts", F.array())
-        work = work.withColumn("__fw_vector", self._vector(F.col("__fw_counts")))
+        work = self._vectors(self._counted(df))
         keep = [x(c) for c in df.columns if not (remove and c == self.input_col)]
         return Frame(work.select(*keep, *[F.col("__fw_vector")[i].alias(f"{out}{i}") for i in range(len(self.vocabulary))]))
 
@@ -158,10 +159,12 @@ class TfidfVectorizer(CountVectorizer):
     def __init__(self, vocab_size: int = 200, min_tf: float = 1.0, min_df: int = 1) -> None:
         super().__init__(vocab_size, min_tf, min_df, binary=False)
 
-    def _vector(self, counts: Column) -> Column:
+    def _vectors(self, work: DataFrame) -> DataFrame:
         import math
 
+        if not self.vocabulary:
+            return work
         idf = F.array(*[F.lit(math.log((self.n_docs + 1) / (d + 1)) + 1) for d in self.doc_freq])
-        weighted = F.zip_with(counts, idf, lambda n, w: n * w)
-        norm = F.sqrt(F.aggregate(weighted, F.lit(0.0), lambda a, v: a + v * v))
-        return F.transform(weighted, lambda v: F.when(norm > 0, v / norm).otherwise(F.lit(0.0)))
+        work = work.withColumn("__fw_vector", F.zip_with("__fw_vector", idf, lambda n, w: n * w))
+        work = work.withColumn("__fw_norm", F.sqrt(F.aggregate("__fw_vector", F.lit(0.0), lambda a, v: a + v * v)))
+        return work.withColumn("__fw_vector", F.transform("__fw_vector", lambda v: F.when(F.col("__fw_norm") > 0, v / F.col("__fw_norm")).otherwise(F.lit(0.0))))

@@ -41,28 +41,24 @@ def at_most(limit: float) -> Callable[[Column], Column]:
 def _texts(line: Column, sep: str, quote: str) -> tuple[Column, Column]:
     """(array of the fields' texts, whether the rules on quotes hold).
 
-    The line is cut at the quote marks: pieces at odd places are inside quotes, those at even places
-    outside. An empty inner even piece is a doubled mark; any other has to hold a separator, with only
-    spaces between it and the marks. Separators inside quotes are written as an escape before the line
-    is cut at separators, and read back afterwards.
+    The line, with a separator put before and after it, is cut at the quote marks: pieces at odd places are
+    inside quotes, those at even places outside. An empty even piece is a doubled mark; any other has to
+    hold a separator, with only spaces between it and the marks. Separators inside quotes are written
+    as an escape before the line is cut at separators, and read back afterwards. The lambdas use their own element
+    alone: anything else of the line would be computed again for every piece.
     """
-    pieces = F.split(line, f"\\Q{quote}\\E", -1)
-    n = F.size(pieces)
+    pieces = F.split(F.concat(F.lit(sep), line, F.lit(sep)), f"\\Q{quote}\\E", -1)
 
     def outside_ok(x: Column, i: Column) -> Column:
-        first, last = i == 0, i == n - 1
-        doubled = ~first & ~last & (x == "")
-        opens = last | x.rlike(f"(\\A|\\Q{sep}\\E) *\\z")
-        closes = first | x.rlike(f"\\A *(\\Q{sep}\\E|\\z)")
-        bare = ~first & ~last & ~x.contains(sep)
-        return (i % 2 == 1) | doubled | (opens & closes & ~bare)
-
-    balanced = n % 2 == 1
-    well = balanced & F.forall(F.transform(pieces, outside_ok), lambda x: x)
+        opens = x.rlike(f"\\Q{sep}\\E *\\z")
+        closes = (i == 0) | x.rlike(f"\\A *\\Q{sep}\\E")
+        return (i % 2 == 1) | (x == "") | (opens & closes)
+
+    well = (F.size(pieces) % 2 == 1) & F.forall(F.transform(pieces, outside_ok), lambda x: x)
     escaped = F.transform(pieces, lambda x: F.replace(x, F.lit("\\"), F.lit("\\b")))
-    inner = F.transform(escaped, lambda x, i: F.when(i % 2 == 1, F.replace(x, F.lit(sep), F.lit("\\t"))).otherwise(F.when((x == "") & (i > 0) & (i < n - 1), F.lit(quote)).otherwise(x)))
+    inner = F.transform(escaped, lambda x, i: F.when(i % 2 == 1, F.replace(x, F.lit(sep), F.lit("\\t"))).otherwise(F.when(x == "", F.lit(quote)).otherwise(x)))
     fields = F.split(F.array_join(inner, ""), f"\\Q{sep}\\E", -1)
-    read = F.transform(fields, lambda x: F.replace(F.replace(x, F.lit("\\t"), F.lit(sep)), F.lit("\\b"), F.lit("\\")))
+    read = F.transform(F.slice(fields, 2, F.greatest(F.size(fields) - 2, F.lit(0))), lambda x: F.replace(F.replace(x, F.lit("\\t"), F.lit(sep)), F.lit("\\b"), F.lit("\\")))
     return F.when(line.contains(quote), read).otherwise(F.split(line, f"\\Q{sep}\\E", -1)), ~line.contains(quote) | well
 
 
