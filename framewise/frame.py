@@ -325,7 +325,7 @@ class Frame:
         whole = df.withColumn(part, F.spark_partition_id()).toPandas()
         return [whole[whole[part] == k].drop(columns=part).reset_index(drop=True) for k in range(n)]
 
-    def export_ddf(self) -> list[pd.DataFrame]:
+    def export_partitions(self) -> list[pd.DataFrame]:
         return self.to_df(split=True)
 
     def transform(self, f: Callable[[DataFrame], DataFrame]) -> "Frame":

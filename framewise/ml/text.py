@@ -54,7 +54,7 @@ class RemoveStopWords(Model):
         if language:
             self.words += STOP_WORDS if language == "english" else _language_words(language)
 
-    def stopwords_from_ddf(self, data: Frame, input_col: str) -> "RemoveStopWords":
+    def stopwords_from_frame(self, data: Frame, input_col: str) -> "RemoveStopWords":
         """Stop words from a column of words (or of word lists)."""
         df = spark_df(data)
         c = x(input_col)
@@ -126,8 +126,10 @@ class CountVectorizer(Model):
     def fit(self, data: Frame, input_col: Sequence[str] | str):
         self.input_col = names(input_col)[0]
         df = spark_df(data)
-        per_doc = df.select(F.explode(F.array_distinct(_tokens(df, self.input_col))).alias("w"), _tokens(df, self.input_col).alias("ts")).select("w", F.size(F.filter("ts", lambda t: t == F.col("w"))).alias("n"))
-        terms = per_doc.groupBy("w").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf")).where((F.col("df") >= self.min_df) & (F.col("tf") >= self.min_tf))
+        tokens = df.select(_tokens(df, self.input_col).alias("ts"))
+        every = tokens.select(F.explode("ts").alias("w"), F.lit(1).alias("tf"), F.lit(0).alias("df"))
+        once = tokens.select(F.explode(F.array_distinct("ts")).alias("w"), F.lit(0).alias("tf"), F.lit(1).alias("df"))
+        terms = every.union(once).groupBy("w").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).where((F.col("df") >= self.min_df) & (F.col("tf") >= self.min_tf))
         best = sorted(terms.orderBy(F.desc("tf"), "w").limit(self.vocab_size).collect(), key=lambda r: r["w"])
         self.vocabulary, self.doc_freq, self.n_docs = [r["w"] for r in best], [r["df"] for r in best], df.count()
         return self

@@ -160,7 +160,7 @@ def test_partitions(ctx):
     assert f.hash_partition("a", 6).num_of_partitions() == 6
     r = f.range_partition("a", False, 3).to_df(split=True)
     assert len(r) == 3 and r[0]["a"].min() > r[1]["a"].max() > r[2]["a"].max()
-    assert len(f.export_ddf()) == 4
+    assert len(f.export_partitions()) == 4
 
 
 def test_actions(ctx, capsys):
