@@ -51,7 +51,6 @@ class Context:
             df = df.withColumns({c: types.cast(quoted(c), k) for c, k in schema.items() if c in df.columns})
         return Frame(df)
 
-
     def stop(self) -> None:
         self.spark.stop()
 
