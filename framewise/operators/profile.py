@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
@@ -96,7 +97,7 @@ def _known(c: str, kind: str) -> Column:
 
 
 def _form(value: Column, kind: str) -> Column:
-    """Written form of a value: sign and decimals of numbers; of texts the runs of letters and digits as classes."""
+    """Written form of a value: sign and decimals of numbers; of texts the whole text with each character as its class."""
     if kind in NUMBERS:
         x = value.cast("double")
         scaled = [F.abs(x) * F.lit(10.0**k) for k in range(5)]
@@ -106,12 +107,28 @@ def _form(value: Column, kind: str) -> Column:
             decimals = F.when(whole[k], F.lit(str(k))).otherwise(decimals)
         tens = F.when(F.pmod(F.abs(x), F.lit(10.0)) == 0, F.lit("t")).otherwise(F.lit(""))
         return F.when(x.isNotNull(), F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), decimals, tens))
-    runs = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"\p{Lu}+", "A"), r"\p{Ll}+", "a"), r"\p{N}+", "9"), r"\s+", "_")
-    return F.substring(runs, 1, 3)
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"\p{Lu}", "A"), r"\p{Ll}", "a"), r"\p{N}", "9"), r"\s", "_")
+
+
+def _start(form: Column) -> Column:
+    """Coarse form of a text: the first three runs of its form. Small shifts show here that drown in the many whole forms."""
+    return F.substring(F.regexp_replace(form, r"([Aa9_])\1+", "$1"), 1, 3)
+
+
+def _numbers(value: Column) -> Column:
+    """The numbers that the digits of a text make, in their order."""
+    return F.transform(F.regexp_extract_all(value, F.lit(r"([0-9]+)"), F.lit(1)), lambda x: x.cast("double"))
+
+
+def _sizes(value: Column) -> Column:
+    """Rough sizes (a quarter of an octave) of the least and greatest number in a text; empty without one."""
+    size = lambda x: F.round(F.log2(1 + x) * 4).cast("int").cast("string")
+    numbers = _numbers(value)
+    return F.when(value.isNotNull(), F.concat_ws("-", size(F.array_min(numbers)), size(F.array_max(numbers))))
 
 
 def _bin(value: Column, kind: str) -> Column:
-    """Distribution bin: an eighth of an octave for numbers, the first letter or digits' rough size for texts."""
+    """Distribution bin: a quarter of an octave for numbers, the first letter or digit for texts (their numbers: ``_sizes``)."""
     if kind in NUMBERS:
         x = value.cast("double")
         return (F.signum(x) * F.round(F.log2(1 + F.abs(x)) * 4)).cast("string")
@@ -162,15 +179,21 @@ def value_counts_by_load(df: DataFrame, by: str, columns: Sequence[str]) -> Data
 
 
 def _divergence(counts: DataFrame, what: str) -> DataFrame:
-    """Total-variation distance of each load's shares of ``what`` from those of all other loads."""
+    """Total-variation distance of each load's shares of ``what`` from those of all other loads, and the one that chance gives a load of its size."""
     own = counts.groupBy("load", "column", what).agg(F.sum("n").alias("n"))
-    total = own.groupBy("load", "column").agg(F.sum("n").alias("t"))
+    total = cut(own.groupBy("load", "column").agg(F.sum("n").alias("t")))
     pooled = own.groupBy("column", what).agg(F.sum("n").alias("pn"))
-    everything = own.groupBy("column").agg(F.sum("n").alias("pt"))
+    everything = total.groupBy("column").agg(F.sum("t").alias("pt"))
     # Half the sum over the load's own bins of |p - q|, plus half the mass of the others outside these bins.
     x = join_small(join_small(join_small(own, pooled, ["column", what], "inner"), total, ["load", "column"], "inner"), everything, ["column"], "inner")
     p, q = F.col("n") / F.col("t"), F.when(F.col("pt") > F.col("t"), (F.col("pn") - F.col("n")) / (F.col("pt") - F.col("t"))).otherwise(F.col("n") / F.col("t"))
-    return x.groupBy("load", "column").agg(((F.sum(F.abs(p - q)) + 1 - F.sum(q)) / 2).alias(f"{what}_shift"))
+    shift = x.groupBy("load", "column").agg(((F.sum(F.abs(p - q)) + 1 - F.sum(q)) / 2).alias(f"{what}_shift"))
+    # Half the summed mean absolute deviations of binomial shares (de Moivre). They follow from how many bins hold how many
+    # values, to a quarter of an octave, so that no load meets every bin.
+    spectrum = cut(pooled.groupBy("column", F.round(F.log2("pn") * 4).alias("octave")).agg(F.count(F.lit(1)).alias("bins"), F.avg("pn").alias("pn")))
+    s = join_small(join_small(total, spectrum, ["column"], "inner"), everything, ["column"], "inner").withColumn("q", F.col("pn") / F.col("pt"))
+    mad = F.when(F.col("t") * F.col("q") < 1, 2 * F.col("q") * F.pow(1 - F.col("q"), F.col("t"))).otherwise(F.sqrt(2 * F.col("q") * (1 - F.col("q")) / (F.lit(math.pi) * F.col("t"))))
+    return cut(shift).join(s.groupBy("load", "column").agg((F.sum(F.col("bins") * mad) / 2).alias(f"{what}_chance")), ["load", "column"])
 
 
 def profile(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
@@ -178,9 +201,11 @@ def profile(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
 
     ``n_rows``, ``n_missing`` (null, NaN, blank and stand-ins for "unknown"), ``missing_share``,
     ``n_distinct``, ``distinct_share`` (of known values), ``least``/``most`` (as text; numbers in their
-    order), ``low``/``high`` (1 % and 99 % of numbers), ``n_forms`` and ``top_form`` (written forms),
-    ``form_shift`` and ``bin_shift`` (total-variation distance of written forms and of value bins from
-    those of the other loads). A load without known values has null statistics. An empty table gives
+    order), ``low``/``high`` (1 % and 99 % of numbers; of texts, of the first number in them), ``n_forms``
+    and ``top_form`` (written forms), ``form_shift``, ``start_shift``, ``bin_shift`` and ``size_shift``
+    (total-variation distance of written forms, of the starts of texts' forms, of value bins and of the
+    sizes of the numbers in texts from those of the other loads), each with the ``_chance`` that a load of
+    its size has anyway. A load without known values has null statistics. An empty table gives
     no row. Everything follows from distinct values with counts, made by map-side aggregates.
     """
     kinds = dict(df.dtypes)
@@ -190,25 +215,27 @@ def profile(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     is_num = F.col("column").isin(nums) if nums else F.lit(False)
     form = F.when(is_num, _form(F.col("value"), "double")).otherwise(_form(F.col("value"), "string"))
     bins = F.when(is_num, _bin(F.col("value"), "double")).otherwise(_bin(F.col("value"), "string"))
-    # Values are needed for counts and extrema only; the cut keeps them with their form and bin.
-    counts = counts.withColumn("x", F.when(is_num, F.col("value").cast("double"))).withColumn("form", form).withColumn("bin", bins)
-    small = cut(counts.groupBy("load", "column", "form", "bin").agg(
-        F.sum("n").alias("n"), F.count("value").alias("d"), F.min("value").alias("lt"), F.max("value").alias("mt"), F.min("x").alias("lx"), F.max("x").alias("mx"),
-        F.percentile_approx("x", [0.5], 1000).alias("mid")))
+    # Values are needed for counts and extrema only; the cut keeps them with their form, bin and sizes.
+    x = F.when(is_num, F.col("value").cast("double"))
+    counts = counts.withColumns({"x": x, "y": F.when(is_num, x).otherwise(F.get(_numbers(F.col("value")), F.lit(0))), "form": form, "bin": bins, "size": F.when(~is_num, _sizes(F.col("value")))})
+    small = cut(counts.groupBy("load", "column", "form", "bin", "size").agg(
+        F.sum("n").alias("n"), F.count("value").alias("d"), F.min("value").alias("lt"), F.max("value").alias("mt"), F.min("x").alias("lx"), F.max("x").alias("mx"), F.min("y").alias("ly"),
+        F.percentile_approx("y", [0.5], 1000).alias("mid")))
     known = small.where("form is not null")
     stats = small.groupBy("load", "column").agg(
         F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("form").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"), F.sum("d").alias("n_distinct"),
         F.coalesce(F.min("lx").cast("string"), F.min("lt")).alias("least"), F.coalesce(F.max("mx").cast("string"), F.max("mt")).alias("most"), F.count_distinct("form").alias("n_forms"))
     forms = known.groupBy("load", "column", "form").agg(F.sum("n").alias("n")).groupBy("load", "column").agg(F.max_by("form", F.struct("n", "form")).alias("top_form"))
-    upto = Window.partitionBy("load", "column").orderBy("lx", "bin", "form")
-    ranked = known.where("lx is not null").withColumn("u", F.sum("n").over(upto)).withColumn("t", F.sum("n").over(Window.partitionBy("load", "column")))
+    upto = Window.partitionBy("load", "column").orderBy("ly", "bin", "form", "size")
+    ranked = known.where("ly is not null").withColumn("u", F.sum("n").over(upto)).withColumn("t", F.sum("n").over(Window.partitionBy("load", "column")))
     ends = ranked.groupBy("load", "column").agg(F.min(F.when(F.col("u") >= 0.01 * F.col("t"), F.col("mid")[0])).alias("low"), F.min(F.when(F.col("u") >= 0.99 * F.col("t"), F.col("mid")[0])).alias("high"))
     out = stats
-    for other in (forms, ends, _divergence(known, "form"), _divergence(known, "bin")):
+    texts = known.where(~is_num).withColumn("start", _start(F.col("form")))
+    for other in (forms, ends, _divergence(known, "form"), _divergence(texts, "start"), _divergence(known, "bin"), _divergence(texts, "size")):
         out = out.join(other, ["load", "column"], "left")
     present = F.col("n_rows") - F.col("n_missing")
     return out.withColumn("missing_share", F.col("n_missing") / F.col("n_rows")).withColumn("distinct_share", F.when(present > 0, F.col("n_distinct") / present)).select(
-        F.col("load").alias(by), F.col("column").alias("column_name"), "n_rows", "n_missing", "missing_share", "n_distinct", "distinct_share", "least", "most", "low", "high", "n_forms", "top_form", "form_shift", "bin_shift")
+        F.col("load").alias(by), F.col("column").alias("column_name"), "n_rows", "n_missing", "missing_share", "n_distinct", "distinct_share", "least", "most", "low", "high", "n_forms", "top_form", *[f"{k}_{x}" for k in ("form", "start", "bin", "size") for x in ("shift", "chance")])
 
 
 def departures(profiled: DataFrame, by: str, limit: float = 8.0) -> DataFrame:
@@ -236,8 +263,10 @@ def departures(profiled: DataFrame, by: str, limit: float = 8.0) -> DataFrame:
         "distinct": (F.col("ld") - F.least(F.greatest(F.col("slope"), F.lit(0.0)), F.lit(1.0)) * F.col("ln"), 0.03, False),
         "low": (bend(F.col("low")), 0.08, False),
         "high": (bend(F.col("high")), 0.05, False),
-        "form": (F.col("form_shift"), 0.004, True),
-        "distribution": (F.col("bin_shift"), 0.006, True),
+        "form": (F.col("form_shift") - F.col("form_chance"), 0.004, True),
+        "start": (F.col("start_shift") - F.col("start_chance"), 0.004, True),
+        "distribution": (F.col("bin_shift") - F.col("bin_chance"), 0.006, True),
+        "size": (F.col("size_shift") - F.col("size_chance"), 0.006, True),
     }
     for k, (x, floor, rise) in tested.items():
         p = p.withColumn(f"x_{k}", x)
@@ -245,7 +274,7 @@ def departures(profiled: DataFrame, by: str, limit: float = 8.0) -> DataFrame:
         p = p.withColumn(f"d_{k}", F.col(f"x_{k}") - F.col(f"c_{k}"))
         p = p.withColumn(f"z_{k}", F.coalesce((F.col(f"d_{k}") if rise else F.abs(F.col(f"d_{k}"))) / F.greatest(1.4826 * mid(F.abs(F.col(f"d_{k}"))), F.lit(floor) + F.lit(0.15 if rise else 0.6) / noise), F.lit(0.0)))
     # The ends of the range sit where values are rare; they only count if mass moved with them.
-    mass = F.greatest(F.col("z_form"), F.col("z_distribution"), F.lit(0.0))
+    mass = F.greatest(*[F.col(f"z_{k}") for k in ("form", "start", "distribution", "size")], F.lit(0.0))
     p = p.withColumns({f"z_{k}": F.least(F.col(f"z_{k}"), 3 * mass) for k in ("low", "high")})
     score = F.greatest(*[F.col(f"z_{k}") for k in tested])
     what = F.lit(None).cast("string")

@@ -143,6 +143,26 @@ def test_profile_finds_departures(spark, tmp_path):
     assert profile(df.limit(0), "load", ["age"]).count() == 0
 
 
+def test_profile_finds_written_digits_and_their_range(spark):
+    """Zero-padded numbers, other endings, another range of numbers: each only shows past the first letters of a cell."""
+    rng, rows = np.random.default_rng(3), []
+    for load in range(14):
+        for _ in range(40 if load == 12 else 300):
+            letter, number = rng.choice(list("ABCD")), int(rng.integers(1, 140))
+            cell = f"{letter}{number}" + (f" {letter}{number + 2}" if rng.random() < 0.2 else "")
+            if load == 3:
+                cell = " ".join(f"{x[0]}{int(x[1:]):05d}" for x in cell.split())
+            elif load == 6:
+                cell = f"{letter}{number}/x"
+            elif load == 9:
+                cell = f"{letter}{number % 40 + 60}"
+            rows.append((load, cell))
+    p = profile(spark.createDataFrame(rows, "load int, cabin string"), "load", ["cabin"])
+    got = {r["load"]: r for r in p.collect()}
+    assert (got[3]["top_form"], got[6]["form_shift"], got[9]["low"] >= 60, got[0]["low"] < 10) == ("A99999", 1.0, True, True)
+    assert {r["load"] for r in departures(p, "load").collect()} == {3, 6, 9}
+
+
 def test_footers_spare_scans(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame([(k, None, "x", float(i)) for i in range(50)], "load int, gone string, same string, v double").coalesce(1).write.parquet(str(tmp_path / f"p{k}.parquet"))
