@@ -25,9 +25,16 @@ class Col:
     def cast(self, kind: int | T.DataType) -> "Col":
         return self._with(types.cast(self.expr, kind))
 
-    def to_datetime(self, mask: str) -> "Col":
-        """A date read with a pattern such as ``dd/MM/yy HH:mm:ss.SSSSSS``; unreadable texts become null."""
-        return self._with(F.to_date(F.try_to_timestamp(self.expr, F.lit(mask))))
+    def to_datetime(self, mask: str, last_year: int | None = None) -> "Col":
+        """A date read with a pattern such as ``dd/MM/yy HH:mm:ss.SSSSSS``; unreadable texts become null.
+
+        A year of two digits is of 2000 to 2099, or with ``last_year`` of the hundred years that end with it.
+        """
+        day = F.to_date(F.try_to_timestamp(self.expr, F.lit(mask)))
+        if last_year is not None:
+            back = F.add_months(day, -1200 * F.ceil((F.year(day) - last_year) / 100).cast("int"))
+            day = F.when(F.dayofmonth(back) == F.dayofmonth(day), back)  # no 29 February in 1900
+        return self._with(day)
 
     def year(self) -> "Col":
         return self._with(F.year(self.expr))

@@ -113,6 +113,12 @@ def map_to_datetime(t, spark):
     return Frame(t("ticketing").df.where(F.col("DATANASCIMENTO").rlike("^[0-9]{2}/[0-9]{2}/[01][0-9]$"))).map(col("DATANASCIMENTO").to_datetime("dd/MM/yy"), "born").select(["tap_id", "born"]).map(F.col("born").cast("timestamp_ntz"), "born")
 
 
+@query("SELECT tap_id, make_date(CASE WHEN yy <= 24 THEN 2000 ELSE 1900 END + yy, mm, dd)::TIMESTAMP AS born FROM (SELECT tap_id, right(s, 2)::BIGINT AS yy, substr(s, 4, 2)::BIGINT AS mm, left(s, 2)::BIGINT AS dd FROM (SELECT tap_id, CASE WHEN regexp_full_match(DATANASCIMENTO, '[0-9]{2}/[0-9]{2}/[0-9]{2}') THEN DATANASCIMENTO END AS s FROM ticketing))")
+def map_to_datetime_all(t, spark):
+    """All dates of birth, their two-digit years within 1925 to 2024."""
+    return t("ticketing").map(col("DATANASCIMENTO").to_datetime("dd/MM/yy", last_year=2024), "born").select(["tap_id", "born"]).map(F.col("born").cast("timestamp_ntz"), "born")
+
+
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_custkey = 0 THEN 'No' ELSE o_custkey::VARCHAR END AS o_custkey FROM orders")
 def replace_values(t, spark):
     return t("orders").replace({"F": "done", "O": "open"}, subset="o_orderstatus").replace({0: "No"}, subset="o_custkey").select(["o_orderkey", "o_orderstatus", "o_custkey"])

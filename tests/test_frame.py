@@ -173,3 +173,21 @@ def test_actions(ctx, capsys):
     c.unpersist()
     assert "Physical Plan" in ctx.context_status(f)
     assert ctx.import_data([pd.DataFrame({"a": [1]}), pd.DataFrame({"a": [2]})]).count_rows() == 2
+
+
+def test_two_digit_years_of_all_rows(spark, ctx):
+    import datetime
+
+    from framewise.frame import Frame
+    from framewise.queries.catalogue import queries
+
+    f = Frame(spark.createDataFrame([("04/11/79",), ("01/02/24",), ("01/02/25",), ("29/02/00",), ("31/02/80",), (None,)], "d string"))
+    read = lambda **k: [r["d"] for r in f.map(col("d").to_datetime("dd/MM/yy", **k), "d").df.collect()]
+    date = datetime.date
+    assert read(last_year=2024) == [date(1979, 11, 4), date(2024, 2, 1), date(1925, 2, 1), date(2000, 2, 29), None, None]
+    assert read(last_year=1999)[3] is None and read()[0] == date(2079, 11, 4)
+    d = "/root/testdata/sf0.001"
+    rows = {r["tap_id"]: r["DATANASCIMENTO"] for r in spark.read.parquet(f"{d}/ticketing.parquet").collect()}
+    got = {r["tap_id"]: r["born"] for r in queries()["map_to_datetime_all"](spark, d).collect()}
+    assert got.keys() == rows.keys() and {k for k, v in got.items() if v} == {k for k, v in rows.items() if v}
+    assert all(v.strftime("%d/%m/%y") == rows[k] and 1925 <= v.year <= 2024 for k, v in got.items() if v)
