@@ -37,9 +37,11 @@ class KNearestNeighbors(Model):
     def __init__(self, k: int = 3) -> None:
         self.k = k
 
-    def fit(self, data: Frame, feature_col: Sequence[str] | str, label_col: str):
-        self.feature_col, self.label_col = names(feature_col), label_col
-        self._train = _known(spark_df(data).select(*[x(c) for c in self.feature_col], x(label_col)), [*self.feature_col, label_col])
+    def fit(self, data: Frame, feature_col: Sequence[str] | str, label_col: str, id_col: str | None = None):
+        """With ``id_col`` a row isn't its own neighbour: training rows of the same id are left out for it."""
+        self.feature_col, self.label_col, self.id_col = names(feature_col), label_col, id_col
+        key = x(id_col) if id_col else F.lit(0)
+        self._train = _known(spark_df(data).select(key.alias("__fw_id"), *[x(c) for c in self.feature_col], x(label_col)), [*self.feature_col, label_col])
         return self
 
     def transform(self, data: Frame, feature_col=None, pred_col: str = "prediction_kNN") -> Frame:
@@ -58,9 +60,12 @@ class KNearestNeighbors(Model):
         pick = F.pmod(F.xxhash64(*_features(self.feature_col)), F.lit(blocks))
         for b in range(blocks):
             rows = (train.where(pick == b) if blocks > 1 else train).collect()
-            points = np.array([[float(v) for v in r[:-1]] for r in rows], float).reshape(len(rows), len(cols))
-            shared = df.sparkSession.sparkContext.broadcast((points, np.array([place[r[-1]] for r in rows], np.int32)))
-            out = out.withColumn(hits, F.slice(F.array_sort(F.concat(hits, _nearest(shared, k)(*_features(cols)))), 1, k))
+            points = np.array([[float(v) for v in r[1:-1]] for r in rows], float).reshape(len(rows), len(cols))
+            own: dict = {}
+            for i, r in enumerate(rows if self.id_col else []):
+                own.setdefault(r[0], []).append(i)
+            shared = df.sparkSession.sparkContext.broadcast((points, np.array([place[r[-1]] for r in rows], np.int32), own))
+            out = out.withColumn(hits, F.slice(F.array_sort(F.concat(hits, _nearest(shared, k)(x(self.id_col) if self.id_col else F.lit(0), *_features(cols)))), 1, k))
         best = F.array_sort(F.transform(F.array_distinct(F.transform(hits, lambda h: h["l"])), lambda c: F.struct((-F.size(F.filter(F.col(hits), lambda h: h["l"] == c))).alias("n"), F.array_position(F.transform(F.col(hits), lambda h: h["l"]), c).alias("p"), c.alias("l"))))
         values = F.array(*[F.lit(v) for v in labels]) if labels else F.array().cast(T.ArrayType(label))
         return emit(out, {pred_col: F.get(values, F.get(best, F.lit(0))["l"])}, [hits], True)
@@ -69,17 +74,21 @@ class KNearestNeighbors(Model):
 def _nearest(shared, k: int):
     @F.pandas_udf("array<struct<d:double,l:int>>")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        points, labels = shared.value
+        points, labels, own = shared.value
         square = (points**2).sum(axis=1)
-        for cols in batches:
+        for ids, *cols in batches:
+            ids = ids.tolist()
             q = np.column_stack([c.to_numpy(float) for c in cols])
             out: list[list[dict]] = []
             for at in range(0, len(q), 512):
                 part = q[at : at + 512]
                 d = np.maximum(square[None, :] - 2 * part @ points.T + (part**2).sum(axis=1)[:, None], 0) if len(points) else np.zeros((len(part), 0))
+                for r, key in enumerate(ids[at : at + 512] if own else []):
+                    d[r, own.get(key, [])] = np.inf
                 m = min(k, d.shape[1])
                 near = np.argpartition(d, m - 1, axis=1)[:, :m] if m else np.zeros((len(part), 0), int)
                 for r, idx in enumerate(near):
+                    idx = idx[np.isfinite(d[r, idx])] if own else idx
                     exact = ((points[idx] - part[r]) ** 2).sum(axis=1)
                     out.append([] if np.isnan(part[r]).any() else [{"d": float(v), "l": int(labels[i])} for v, i in sorted(zip(exact, idx))])
             yield pd.Series(out, dtype=object)
@@ -106,12 +115,16 @@ class GaussianNB(Model):
     def transform(self, data: Frame, feature_col=None, pred_col: str = "prediction_GaussianNB") -> Frame:
         self.check_fitted()
         cols = _features(names(feature_col or self.feature_col))
-        scores = []
-        for _, means, variances in self.classes:
+        # Arrays, not a term for every feature and class: the plan stays small with many of them.
+        row, scores = F.array(*cols), []
+        for i, (_, means, variances) in enumerate(self.classes):
             base = -0.5 * sum(math.log(2 * math.pi * v) for v in variances)
-            scores.append(F.lit(base) - sum(((c - F.lit(m)) * (c - F.lit(m)) / F.lit(2 * v) for c, m, v in zip(cols, means, variances)), F.lit(0.0)))
-        ranked = F.array_position(F.array(*scores), F.array_max(F.array(*scores))) - 1
-        return emit(spark_df(data), {pred_col: F.get(F.array(*[F.lit(c[0]) for c in self.classes]), ranked.cast("int"))})
+            squares = F.zip_with(row, F.lit(means), lambda c, m: (c - m) * (c - m))
+            apart = F.aggregate(F.zip_with(squares, F.lit([2 * v for v in variances]), lambda q, w: q / w), F.lit(0.0), lambda t, q: t + q)
+            scores.append(F.struct((F.lit(base) - apart).alias("s"), F.lit(-i).alias("i")))
+        values = F.array(*[F.lit(c[0]) for c in self.classes])
+        best = F.transform(F.array(F.array_max(F.array(*scores))), lambda b: F.when(b["s"].isNotNull(), F.get(values, -b["i"])))
+        return emit(spark_df(data), {pred_col: F.get(best, F.lit(0))})
 
 
 class LogisticRegression(Model):

@@ -19,7 +19,7 @@ from framewise.ml.supervised import SVM, GaussianNB, GDRegressor, KNearestNeighb
 from framewise.ml.text import CountVectorizer, NGram, RegexTokenizer, RemoveStopWords, TfidfVectorizer, Tokenizer
 from framewise.operators.graph import PageRank
 from framewise.operators.stats import exact_freq_items
-from framewise.plans.scale import table
+from framewise.plans.scale import cut, table
 from framewise.session import Context
 from framewise.types import DataType
 
@@ -568,6 +568,27 @@ def knn(t, spark):
     return KNearestNeighbors(1).fit(f.filter("vec_id % 3 == 0"), _E, "label").transform(f, pred_col="p").select(["vec_id", "p"])
 
 
+_ALL = [f"e{i}" for i in range(64)]
+
+
+def _all_dimensions(t):
+    """Embeddings as one feature a dimension with their label."""
+    # The cut leaves plain columns: over 64 aliases of array cells Spark's optimizer infers constraints without end.
+    return Frame(cut(t("embeddings").df.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_ALL)])))
+
+
+@query()
+def gaussian_nb_all(t, spark):
+    return GaussianNB().fit_transform(_all_dimensions(t), _ALL, "label", pred_col="p").select(["vec_id", "p"])
+
+
+@query()
+def knn_all(t, spark):
+    """All labelled rows train; each row itself is left out of its neighbours."""
+    f = _all_dimensions(t)
+    return KNearestNeighbors(1).fit(f, _ALL, "label", id_col="vec_id").transform(f, pred_col="p").select(["vec_id", "p"])
+
+
 @query()
 def logreg(t, spark):
     f = StandardScaler().fit_transform(Frame(t("orders").df.select("o_orderkey", "o_totalprice", "o_custkey", (F.col("o_totalprice") > 250000).cast("int").alias("y"))), ["o_totalprice", "o_custkey"])

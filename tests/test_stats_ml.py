@@ -149,3 +149,19 @@ def test_reprojection(spark):
     assert abs(e["lon"] - 452_484) < 2 and abs(e["lat"] - 5_411_718) < 2
     back = crst_transform(crst_transform(df, "lat", "lon", 4326, 32631), "lat", "lon", 32631, 4326).first()
     assert abs(back["lat"] - 48.8566) < 1e-8 and abs(back["lon"] - 2.3522) < 1e-8
+
+
+def test_embeddings_by_all_dimensions_and_rows(spark):
+    from framewise.queries.catalogue import queries
+
+    d = "/root/testdata/sf0.001"
+    rows = sorted(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", "embedding").collect())
+    e, labels = np.array([r["embedding"] for r in rows], float), np.array([r["label"] for r in rows])
+    far = ((e[:, None, :] - e[None, :, :]) ** 2).sum(axis=2)
+    np.fill_diagonal(far, np.inf)
+    assert {r["vec_id"]: r["p"] for r in queries()["knn_all"](spark, d).collect()} == {r["vec_id"]: labels[i] for r, i in zip(rows, far.argmin(axis=1))}
+    kinds = np.unique(labels)
+    means, spread = (np.array([f(e[labels == k], axis=0) for k in kinds]) for f in (np.mean, np.var))
+    spread += 1e-9 * spread.max()
+    scores = -0.5 * (np.log(2 * np.pi * spread)[None] + (e[:, None, :] - means[None]) ** 2 / spread[None]).sum(axis=2)
+    assert {r["vec_id"]: r["p"] for r in queries()["gaussian_nb_all"](spark, d).collect()} == {r["vec_id"]: kinds[i] for r, i in zip(rows, scores.argmax(axis=1))}
