@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewise.plans.scale import cut
+from framewise.plans.scale import cut, join_small
 
 #: Containers a task keeps open for each kind.
 OPEN = 64
@@ -143,7 +143,7 @@ def pack(items: DataFrame, item_id: str, size: str, kinds: DataFrame, kind: str,
 def fill_report(packed: DataFrame, kinds: DataFrame, kind: str, capacity: str) -> DataFrame:
     """By kind: containers, tokens, and the share of the space that is used."""
     by_kind = packed.groupBy(kind, "container_id").agg(F.sum("tokens").alias("t")).groupBy(kind).agg(F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"))
-    return by_kind.join(F.broadcast(kinds.select(kind, capacity).limit(1000)), kind).select(kind, "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col(capacity))).alias("used_share"))
+    return join_small(by_kind, kinds.select(kind, capacity), [kind], "inner").select(kind, "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col(capacity))).alias("used_share"))
 
 
 def usage(packed: DataFrame, names: Sequence[str]) -> DataFrame:

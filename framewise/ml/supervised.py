@@ -107,7 +107,9 @@ class GaussianNB(Model):
     def fit(self, data: Frame, feature_col, label_col: str):
         self.feature_col = cols = names(feature_col)
         df = _known(spark_df(data), [*cols, label_col])
-        rows = df.groupBy(x(label_col).alias("l")).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(_features(cols))], *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(_features(cols))]).orderBy("l").limit(10_000).collect()
+        rows = df.groupBy(x(label_col).alias("l")).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(_features(cols))], *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(_features(cols))]).orderBy("l").limit(10_001).collect()
+        if len(rows) > 10_000:
+            raise ValueError("more than 10,000 classes")
         spread = max((r[f"v{i}"] for r in rows for i in range(len(cols))), default=0.0)
         self.classes = [[r["l"], [r[f"m{i}"] for i in range(len(cols))], [r[f"v{i}"] + 1e-9 * (spread or 1.0) for i in range(len(cols))]] for r in rows]
         return self

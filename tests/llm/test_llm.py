@@ -197,3 +197,9 @@ def test_words_ignore_case_punctuation_digits():
     text = "Alpha, beta 1 gamma."
     assert re.findall(r"[^\W\d_]+", text.lower()) == ["alpha", "beta", "gamma"]
     assert F is not None
+
+
+def test_fill_report_has_every_kind(spark):
+    packed = spark.range(1500).selectExpr("concat('k', id) AS kind", "'0-0' AS container_id", "5L AS tokens")
+    got = fill_report(packed, packed.selectExpr("kind", "10 AS cap"), "kind", "cap").collect()
+    assert len(got) == 1500 and all(r["used_share"] == 0.5 for r in got)

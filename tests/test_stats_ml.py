@@ -165,3 +165,11 @@ def test_embeddings_by_all_dimensions_and_rows(spark):
     spread += 1e-9 * spread.max()
     scores = -0.5 * (np.log(2 * np.pi * spread)[None] + (e[:, None, :] - means[None]) ** 2 / spread[None]).sum(axis=2)
     assert {r["vec_id"]: r["p"] for r in queries()["gaussian_nb_all"](spark, d).collect()} == {r["vec_id"]: kinds[i] for r, i in zip(rows, scores.argmax(axis=1))}
+
+
+def test_bayes_refuses_too_many_classes(spark):
+    from framewise.frame import Frame
+    from framewise.ml.supervised import GaussianNB
+
+    with pytest.raises(ValueError):
+        GaussianNB().fit(Frame(spark.range(10_001).selectExpr("id AS y", "double(id) AS a")), ["a"], "y")
