@@ -11,7 +11,7 @@ from framewise.llm.clusters import similarity_clusters
 from framewise.llm.mixing import mix
 from framewise.llm.packing import fill_report, pack
 from framewise.llm.quantiles import merge, percentiles, sketch
-from framewise.llm.repetition import repetition_statistics, robust_outliers
+from framewise.llm.repetition import repeated_passages, repetition_statistics, repetitive_documents, robust_outliers
 from framewise.llm.tokens import token_count
 from framewise.operators.impute import known_code, known_number
 from framewise.plans.scale import cut, table
@@ -27,13 +27,25 @@ def _fares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return percentiles(sketch(_fares(spark, d), ["Pclass"], ["Fare", "Age"]), ["Pclass"], QUANTILES)
-
-
-def p2_merged(spark: SparkSession, d: str) -> DataFrame:
-    """The same from sketches of separate loads, added up."""
-    parts = cut(sketch(_fares(spark, d).withColumn("half", F.pmod("load_id", F.lit(2))), ["half", "Pclass"], ["Fare", "Age"]))
-    return percentiles(merge(parts, ["Pclass"]), ["Pclass"], QUANTILES)
+    """Percentiles of every load and class, and (load_id null, scope "all") those of the loads' sketches added up by class."""
+    loads = cut(sketch(_fares(spark, d), ["load_id", "Pclass"], ["Fare", "Age"]))
+    every = percentiles(merge(loads, ["Pclass"]), ["Pclass"], QUANTILES).select(F.lit("all").alias("scope"), F.lit(None).cast("int").alias("load_id"), "*")
+    return percentiles(loads, ["load_id", "Pclass"], QUANTILES).select(F.lit("load").alias("scope"), "*").unionByName(every)
+
+
+def p2_checked(spark: SparkSession, d: str) -> DataFrame:
+    """By field and class over all loads: values, and how many percentiles lie outside the stated error of exact ranks."""
+    fares = _fares(spark, d)
+    found = percentiles(merge(sketch(fares, ["load_id", "Pclass"], ["Fare", "Age"]), ["Pclass"]), ["Pclass"], QUANTILES)
+    cells = fares.select("Pclass", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("x")) for c in ("Fare", "Age")])).alias("c"))
+    counts = cells.where("c.x is not null and not isnan(c.x)").groupBy("Pclass", "c.field", F.col("c.x").cast("float").alias("x")).agg(F.count(F.lit(1)).alias("m"))
+    near = counts.withColumnRenamed("Pclass", "k").withColumnRenamed("field", "f")
+    joined = found.join(near, found["Pclass"].eqNullSafe(near["k"]) & (found["field"] == near["f"]))
+    v = F.col("value").cast("float")
+    ranks = joined.groupBy("Pclass", "field", "q", "n", "rank_error").agg(F.sum(F.when(F.col("x") < v, F.col("m")).otherwise(0)).alias("below"), F.sum(F.when(F.col("x") <= v, F.col("m")).otherwise(0)).alias("upto"))
+    wanted = F.greatest(F.ceil(F.round(F.col("q") * F.col("n"), 9)), F.lit(1))
+    off = F.greatest(F.col("below") + 1 - wanted, wanted - F.col("upto"), F.lit(0))
+    return ranks.groupBy("Pclass", "field").agg(F.max("n").alias("n_values"), F.sum((off > F.col("rank_error") * F.col("n")).cast("long")).alias("outside"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -79,21 +91,25 @@ def _language(c):
     return F.when(code != "", code)
 
 
-def _repetition(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").withColumn("language", _language(F.col("lang")))
-    return robust_outliers(repetition_statistics(docs, "doc_id", "text", ["language", "source"]), ["language", "source"])
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text", _language(F.col("lang")).alias("language"), "source")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return _repetition(spark, d).where("rejected and 5 * repeated_words >= 2 * n_words").select("doc_id")
+    return repetitive_documents(_documents(spark, d), "doc_id", "text", ["language", "source"], 0.4).select("doc_id")
 
 
 def p10_repetition(spark: SparkSession, d: str) -> DataFrame:
-    return _repetition(spark, d).select("doc_id", "n_words", "repeated_words", "repeated_share", "distance", "rejected")
+    """The share of every text."""
+    return repeated_passages(_documents(spark, d), "doc_id", "text")
+
+
+def p10_outliers(spark: SparkSession, d: str) -> DataFrame:
+    return robust_outliers(cut(repetition_statistics(_documents(spark, d), "doc_id", "text", ["language", "source"])), ["language", "source"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_percentiles, p2_merged, p3_found, p3_clusters, p8_packed, p8_report, p9_found, p9_shares, p9_mixture, p10_found, p10_repetition)}
+    return {f.__name__: f for f in (p2_percentiles, p2_checked, p3_found, p3_clusters, p8_packed, p8_report, p9_found, p9_shares, p9_mixture, p10_found, p10_repetition, p10_outliers)}
 
 
 def oracle_sql() -> dict[str, str]:

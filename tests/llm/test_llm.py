@@ -7,11 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewise.llm.clusters import markov_cluster, similarity_clusters
+from framewise.llm.clusters import contracted_clusters, markov_cluster, similarity_clusters
 from framewise.llm.mixing import mix
 from framewise.llm.packing import Bins, fill_report, pack
-from framewise.llm.quantiles import Sketch, encode, merge, percentiles, sketch
-from framewise.llm.repetition import repeated_words, repetition_statistics, robust_outliers
+from framewise.llm.quantiles import LISTED, Sketch, encode, merge, percentiles, sketch
+from framewise.llm.repetition import chi2_cdf, chi2_quantile, minimum_covariance_determinant, repeated_passages, repeated_words, repetition_statistics, repetitive_documents, robust_outliers
 
 # Percentiles
 
@@ -54,7 +54,34 @@ def test_deletions_undo_insertions(spark):
     r = percentiles(s, [], [0.5]).first()
     assert r["n"] == 500 and abs(r["value"] - 249) <= 500 * max(r["rank_error"], 0.01)
     assert percentiles(sketch(spark.createDataFrame([], "v double"), [], ["v"]), [], [0.5]).count() == 0
-    assert Sketch().quantile(0.5) is None
+    assert Sketch().quantiles([0.5]) == [None]
+
+
+def test_listed_and_counted_sketches_add_up_alike():
+    rng = np.random.default_rng(3)
+    x, y = encode(rng.normal(size=3 * LISTED)), encode(np.round(rng.normal(size=500), 1))
+    one = Sketch()
+    one.add(np.concatenate([x, y]), np.ones(len(x) + len(y), np.int64))
+    parts = [Sketch() for _ in range(4)]
+    for k, p in enumerate(np.array_split(x, 3)):
+        p_weights = np.ones(len(p), np.int64)
+        parts[k].add(p, p_weights)
+    parts[3].add(y, np.ones(len(y), np.int64))
+    total = Sketch()
+    for p in parts:
+        total.merge(Sketch.of(p.n, p.body()))
+    assert parts[3].levels is None and total.n == one.n
+    assert all((a == b).all() for a, b in zip(total.counters(), one.counters()))
+
+
+def test_loads_add_up_in_a_tree(spark):
+    """More sketches of a group than one task adds up."""
+    rows = [(k, float(v)) for k in range(100) for v in range(k % 7 + 1)]
+    loads = sketch(spark.createDataFrame(rows, "load int, v double"), ["load"], ["v"])
+    assert loads.count() == 100
+    r = percentiles(merge(loads, []), [], [0.5, 1.0]).collect()
+    every = sorted(v for _, v in rows)
+    assert {x["q"]: (x["n"], x["value"]) for x in r} == {0.5: (len(every), every[-(-len(every) // 2) - 1]), 1.0: (len(every), 6.0)}
 
 
 # Clusters
@@ -67,21 +94,61 @@ def test_markov_clustering_of_two_cliques(spark):
     assert len(of) == 10 and len({of[i] for i in range(5)}) == 1 and len({of[i] for i in range(10, 15)}) == 1 and of[0] != of[10]
 
 
-def test_similarity_clusters(spark):
+def bridged():
+    """Two dense 5 x 5 grids of nodes behind a thin bridge."""
+    flows = []
+    for side in (0, 100):
+        at = {(x, y): side + 5 * x + y for x in range(5) for y in range(5)}
+        flows += [(at[a], at[b], 10.0) for a in at for b in at if max(abs(a[0] - b[0]), abs(a[1] - b[1])) <= 1]
+    return flows + [(24, 100, 0.5), (100, 24, 0.5)]
+
+
+def test_contraction_keeps_wide_clusters_whole_and_thin_bridges_cut(spark):
+    flows = spark.createDataFrame(bridged(), "i long, j long, f double")
+    found = {r["node"]: r["component"] for r in contracted_clusters(flows).collect()}
+    assert len({found[i] for i in range(25)}) == 1 and len({found[100 + i] for i in range(25)}) == 1 and found[0] != found[100]
+    # What is connected is one component here: components alone give other rows.
+    from framewise.operators.graph import connected_components
+
+    edges = flows.selectExpr("i AS a", "j AS b").where("a <> b")
+    assert connected_components(flows.selectExpr("i AS node").distinct(), edges).select("component").distinct().count() == 1
+
+
+def test_unsettled_flow_is_an_error(spark):
+    with pytest.raises(RuntimeError):
+        markov_cluster(spark.createDataFrame(bridged(), "i long, j long, w double"), max_iter=1)
+
+
+def flowers(spark, factor=1.0):
     rng = np.random.default_rng(7)
-    x = np.vstack([rng.normal(c, 0.05, (n, 4)) for c, n in (((1, 1, 1, 1), 300), ((3, 3, 3, 3), 150), ((1, 3, 1, 3), 40))])
-    rows = [(i + 1, *map(float, r), "own") for i, r in enumerate(x)] + [(1000, 9.0, 9.0, 9.0, 9.0, "alone"), (1001, None, 1.0, 1.0, 1.0, "gap"), (1002, float("nan"), 1.0, 1.0, 1.0, "gap"), (1003, float("inf"), 1.0, 1.0, 1.0, "gap")]
-    rows += [(2000 + i, 5.0, 5.0, 5.0, 5.0, "copies") for i in range(8)] + [(3000 + i, 7.0, 7.0, 7.0, 7.0, "few") for i in range(7)]
-    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double, cluster_key string")
+    x = np.vstack([rng.normal(c, 0.05, (n, 4)).clip(np.array(c) - 0.15, np.array(c) + 0.15) for c, n in (((1, 1, 1, 1), 300), ((3, 3, 3, 3), 150), ((1, 3, 1, 3), 40))])
+    rows = [(i + 1, *map(float, factor * r), "own") for i, r in enumerate(x)] + [(1000, *[9.0 * factor] * 4, "alone"), (1001, None, 1.0, 1.0, 1.0, "gap"), (1002, float("nan"), 1.0, 1.0, 1.0, "gap"), (1003, float("inf"), 1.0, 1.0, 1.0, "gap")]
+    rows += [(2000 + i, *[5.0 * factor] * 4, "copies") for i in range(8)] + [(3000 + i, *[7.0 * factor] * 4, "few") for i in range(7)]
+    return spark.createDataFrame(rows, "id long, a double, b double, c double, d double, cluster_key string")
+
+
+def test_similarity_clusters(spark):
+    df = flowers(spark)
     got = similarity_clusters(df, "id", ["a", "b", "c", "d"])
     members = {r["id"]: r["cluster_key"] for r in got.members.collect()}
     sizes = {k: sum(v == k for v in members.values()) for k in set(members.values())}
     assert set(sizes) == {1, 301, 451, 2000} and sizes[2000] == 8
-    assert all(members.get(i + 1) == (1 if i < 300 else 301 if i < 450 else 451) for i in range(490) if i + 1 in members) and len(members) > 470
+    assert all(members.get(i + 1) == (1 if i < 300 else 301 if i < 450 else 451) for i in range(490) if i + 1 in members) and len(members) > 480
     summary = {r["cluster_key"]: r for r in got.summary.collect()}
     assert {k: r["size"] for k, r in summary.items()} == sizes
     assert all(members[i] == k for k, r in summary.items() for i in r["typical"])
     assert similarity_clusters(df.limit(0), "id", ["a", "b", "c", "d"]).members.count() == 0
+    # Without Markov clustering, every node its own cluster, other rows come out; another unit gives the same.
+    scaled = {r["id"]: r["cluster_key"] for r in similarity_clusters(flowers(spark, 1024.0), "id", ["a", "b", "c", "d"]).members.collect()}
+    assert scaled == members
+
+
+def test_clusters_are_those_of_the_flow(spark, monkeypatch):
+    from framewise.llm import clusters
+
+    monkeypatch.setattr(clusters, "contracted_clusters", lambda flows, *_: flows.selectExpr("j AS node", "j AS component", "1D AS flow").distinct())
+    apart = similarity_clusters(flowers(spark), "id", ["a", "b", "c", "d"]).members
+    assert apart.select("cluster_key").distinct().count() > 4
 
 
 # Containers
@@ -163,34 +230,73 @@ def test_repeated_words_against_brute_force():
     rnd = random.Random(4)
     for _ in range(200):
         words = [rnd.choice("abc") for _ in range(rnd.randrange(60))]
-        assert repeated_words(words).tolist() == brute(words)
-    passage = [f"w{i}" for i in range(9)]
-    assert repeated_words(passage * 2).sum() == 9
-    assert repeated_words(passage[:7] * 2).sum() == 0
+        assert repeated_words(words) == sum(brute(words))
+    passage = ["w" + chr(97 + i) for i in range(9)]
+    assert repeated_words(passage * 2) == 9
+    assert repeated_words(passage[:7] * 2) == 0
 
 
 def test_statistics_of_odd_texts(spark):
     passage = "The quick, brown fox 12 jumps over a lazy dog today!"
     texts = [None, "", "one", "12 34 !!", passage + "\n" + passage.upper().replace("12", "99"), "a " * 100_000]
     df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_words int")
-    got = {r[0]: r for r in repetition_statistics(df, "doc_id", "text").collect()}
+    got = {r[0]: r for r in repeated_passages(df, "doc_id", "text").collect()}
     assert [got[i]["n_words"] for i in range(4)] == [0, 0, 1, 0]
     assert got[4]["repeated_words"] == 10 and got[4]["repeated_share"] == 0.5
     assert got[5]["n_words"] == 100_000 and got[5]["repeated_words"] == 100_000 - 8
+    stats = {r[0]: r for r in repetition_statistics(df, "doc_id", "text").collect()}
+    assert all(stats[i][c] == 0 for i in range(4) for c in ("phrases_again", "top_phrase"))
+    assert stats[4]["phrases_again"] == 8 / 18 and stats[5]["top_phrase"] == 1.0
 
 
-def test_outliers_are_the_repetitive_ones(spark):
+def texts_of(spark, share):
+    """600 texts, of which ``share`` repeat themselves."""
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
     rows = []
     for i in range(600):
         base = " ".join(word() for _ in range(60))
-        rows.append((i, (base + " ") * 3 if i % 40 == 0 else base, "en" if i % 3 else None, "s" if i % 5 else "tiny"))
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+        rows.append((i, (base + " ") * 3 if i % 100 < 100 * share else base, "en" if i % 3 else None, "s" if i % 5 else "tiny"))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+
+
+def test_outliers_are_the_repetitive_ones(spark):
+    df = texts_of(spark, 0.03)
     out = robust_outliers(repetition_statistics(df, "doc_id", "text", ["lang", "source"]), ["lang", "source"])
-    assert {r["doc_id"] for r in out.where("rejected").collect()} >= set(range(0, 600, 40))
+    want = {i for i in range(600) if i % 100 < 3}
+    assert {r["doc_id"] for r in out.where("rejected").collect()} >= want
     assert out.where("rejected").count() < 60 and out.count() == 600
     assert robust_outliers(repetition_statistics(df.limit(0), "doc_id", "text", ["lang"]), ["lang"]).count() == 0
+    assert {r["doc_id"] for r in repetitive_documents(df, "doc_id", "text", ["lang", "source"]).collect()} == want
+
+
+def test_candidates_come_from_the_robust_estimate(spark, monkeypatch):
+    """A fifth of the texts is repetitive: plain means and covariances take them in and reject none; the robust estimate finds all."""
+    from framewise.llm import repetition
+
+    df, want = texts_of(spark, 0.2), {i for i in range(600) if i % 100 < 20}
+    assert {r["doc_id"] for r in repetitive_documents(df, "doc_id", "text", []).collect()} == want
+
+    def plain(points, weights, floors, *_):
+        mean = weights @ points / weights.sum()
+        d = points - mean
+        return mean, (d * weights[:, None]).T @ d / weights.sum() + np.diag(floors**2)
+
+    monkeypatch.setattr(repetition, "minimum_covariance_determinant", plain)
+    assert repetitive_documents(df, "doc_id", "text", []).count() == 0
+
+
+def test_minimum_covariance_determinant():
+    rng = np.random.default_rng(5)
+    cov = np.array([[1.0, 0.6], [0.6, 0.5]])
+    points = np.vstack([rng.multivariate_normal([1, 2], cov, 4000), rng.normal(9, 0.2, (800, 2))])
+    mean, found = minimum_covariance_determinant(points, np.ones(len(points)), np.array([1e-3, 1e-3]))
+    assert np.abs(mean - [1, 2]).max() < 0.1 and np.abs(found - cov).max() < 0.12
+    again = minimum_covariance_determinant(np.repeat(points, 2, axis=0)[::2], np.ones(len(points)), np.array([1e-3, 1e-3]))
+    assert (again[0] == mean).all()
+    assert abs(chi2_cdf(9.487729, 4) - 0.95) < 1e-6 and abs(chi2_quantile(0.975, 3) - 9.348404) < 1e-5
+    one = minimum_covariance_determinant(np.ones((5, 2)), np.ones(5), np.array([0.1, 0.1]))
+    assert np.isfinite(one[1]).all()
 
 
 def test_words_ignore_case_punctuation_digits():
