@@ -293,7 +293,7 @@ def test_minimum_covariance_determinant():
     mean, found = minimum_covariance_determinant(points, np.ones(len(points)), np.array([1e-3, 1e-3]))
     assert np.abs(mean - [1, 2]).max() < 0.1 and np.abs(found - cov).max() < 0.12
     again = minimum_covariance_determinant(np.repeat(points, 2, axis=0)[::2], np.ones(len(points)), np.array([1e-3, 1e-3]))
-    assert (again[0] == mean).all()
+    assert np.allclose(again[0], mean)
     assert abs(chi2_cdf(9.487729, 4) - 0.95) < 1e-6 and abs(chi2_quantile(0.975, 3) - 9.348404) < 1e-5
     one = minimum_covariance_determinant(np.ones((5, 2)), np.ones(5), np.array([0.1, 0.1]))
     assert np.isfinite(one[1]).all()
