@@ -11,7 +11,7 @@ import numpy as np
 from framewise.ml.base import Column, DataFrame, F, Frame, Model, emit, names, spark_df, x
 from framewise.operators.geo import haversine
 from framewise.operators.graph import connected_components
-from framewise.plans.scale import compile_small, cut, free_name
+from framewise.plans.scale import cut, free_name, split_code
 
 
 class Kmeans(Model):
@@ -34,7 +34,8 @@ class Kmeans(Model):
 
     @staticmethod
     def _squares(cols: Sequence[Column], centres: Sequence[Sequence[float]]) -> Column:
-        return F.array(*[sum(((c - F.lit(float(v))) * (c - F.lit(float(v))) for c, v in zip(cols, p)), F.lit(0.0)) for p in centres])
+        squares = [sum(((c - F.lit(float(v))) * (c - F.lit(float(v))) for c, v in zip(cols, p)), F.lit(0.0)) for p in centres]
+        return F.array(split_code(squares[0]), *squares[1:]) if len(centres) * len(cols) > 64 else F.array(*squares)
 
     def _draw(self, df: DataFrame, n: int) -> list[list[float]]:
         rows = df.distinct().orderBy(F.xxhash64(F.lit(self.seed), *df.columns)).limit(n).collect()
@@ -67,7 +68,6 @@ class Kmeans(Model):
         return [c.tolist() for c in chosen]
 
     def fit(self, data: Frame, feature_col: Sequence[str] | str):
-        compile_small(spark_df(data).sparkSession)
         self.feature_col = names(feature_col)
         df = cut(spark_df(data).select(*[x(c).cast("double").alias(f"x{i}") for i, c in enumerate(self.feature_col)]).dropna())
         cols = [F.col(c) for c in df.columns]

@@ -43,7 +43,7 @@ def connected_components(nodes: DataFrame, links: DataFrame, max_iter: int = 100
     """(node, component): the smallest node reachable over undirected ``links`` (a, b).
 
     Labels spread to neighbours and then jump to their label's label, so the steps grow with the
-    logarithm of a path's length, not with the path.
+    logarithm of a path's length, not with the path. Labels still moving after ``max_iter`` steps are an error.
     """
     both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
     label = cut(nodes.select("node", F.col("node").alias("component")))
@@ -54,5 +54,5 @@ def connected_components(nodes: DataFrame, links: DataFrame, max_iter: int = 100
         two = cut(one.join(jump, one["component"] == jump["n2"], "left").select("node", F.least("component", F.coalesce("c2", "component")).alias("component"), "old"))
         label = two.select("node", "component")
         if two.where("component < old").isEmpty():
-            break
-    return label
+            return label
+    raise RuntimeError(f"the components have not settled after {max_iter} steps")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.plans.scale import compile_small, cut, free_name, join_salted, join_small
+from framewise.plans.scale import cut, free_name, join_salted, join_small, split_code, store
 
 #: Written forms that stand for "unknown", compared in lower case without outer spaces.
 UNKNOWN_WORDS = ["", "?", "??", "-", "--", ".", "*", "n/a", "n.a.", "n.a", "na", "nan", "none", "null", "nil", "unk", "unknown", "undefined", "not known", "missing", "u"]
@@ -52,13 +51,16 @@ class KPrototypesImputer:
     * ``global``  - the same over all records; ``none`` where no record has a value.
 
     ``<target>_filled`` holds the known or filled value, ``<target>_method`` is null on known cells.
-    Features that a record lacks don't count in its distance.
-    Prototypes start at the most frequent category combinations and are refined over all rows; every
-    pass is one scan with a map-side aggregate by (cluster, categories). Medians are
-    ``percentile_approx`` sketches of accuracy 10,000. Ties of modes take the smallest value (in groups:
-    that of the largest hash); repeated rows
-    count as often as they occur; an empty table gives an empty result; columns of the input whose
-    names clash with new ones stay and the new ones get ``_2``.
+    Features that a record lacks don't count in its distance. A record that lacks the target is in the cluster that its other
+    features choose; so the clusters' medians and modes of a target are those of the records that lie there without looking at
+    the target either. A cluster's value counts from ``support`` known records, below that the parent's does.
+
+    Prototypes start at the most frequent combinations of the targets' categories and are refined over all rows. Features
+    are stored once, narrow, in the checkpoint folder; a pass is one scan of them with a map-side aggregate by (cluster,
+    categories). Numeric features are scaled by median and quartiles and held within three deviations, so that wrong measures don't pull
+    at the prototypes; medians are ``percentile_approx`` sketches of accuracy 10,000. Ties of modes take the smallest
+    value (in groups: that of the largest hash); repeated rows count as often as they occur; an empty table gives
+    an empty result; columns of the input whose names clash with new ones stay and the new ones get ``_2``.
     """
 
     values: Mapping[str, Column]
@@ -72,6 +74,7 @@ class KPrototypesImputer:
     max_iter: int = 5
     gamma: float = 1.0
     tol: float = 1e-3
+    support: int = 20
     prototypes: list[tuple[list[float | None], list[int | None]]] = field(default_factory=list)
 
     def _features(self, df: DataFrame) -> DataFrame:
@@ -86,34 +89,42 @@ class KPrototypesImputer:
         return [f"__fw_n{i}" for i in range(len(self.numeric))], [f"__fw_c{i}" for i in range(len(self.categorical))]
 
     def _scaled(self, features: DataFrame) -> DataFrame:
-        """Numeric features in standard deviations, within three of the mean; nulls stay null."""
+        """Numeric features in robust deviations, within three of the median; nulls stay null."""
         nums, _ = self._names()
         z = {c: (F.col(c) - F.lit(self.center[i])) / F.lit(self.spread[i]) for i, c in enumerate(nums)}
         return features.withColumns(z).withColumns({c: F.when(F.col(c) > 3, F.lit(3.0)).when(F.col(c) < -3, F.lit(-3.0)).otherwise(F.col(c)) for c in nums})
 
-    def _clustered(self, scaled: DataFrame) -> DataFrame:
-        """``scaled`` with the nearest prototype in ``__fw_cluster``.
+    def _scores(self, blind: str | None = None) -> Column:
+        """Scores of the prototypes, the nearest has the least, over scaled features; ``blind`` is a feature that doesn't count.
 
         Only what differs between prototypes is computed: of (z - m)^2 over a row's known features
         m^2 - 2 z m, of the mismatches minus the matches; what all prototypes share, and the scaling by the
-        number of known features, can't change which is nearest. Features enter as plain non-null numbers, so the generated
-        code stays small enough to be compiled.
+        number of known features, can't change which is nearest. Features enter as plain non-null numbers (``_plain``).
         """
-        nums, cats = self._names()
-        plain = {f"__fw_z{i}": F.coalesce(F.col(c), F.lit(0.0)) for i, c in enumerate(nums)} | {f"__fw_o{i}": F.when(F.col(c).isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0)) for i, c in enumerate(nums)}
-        plain |= {f"__fw_x{i}": F.coalesce(F.col(c), F.lit(0).cast("long")) for i, c in enumerate(cats)}
+        skip_n, skip_c = [list(x).index(blind) if blind in x else -1 for x in (self.numeric, self.categorical)]
         scores = []
         for means, modes in self.prototypes:
             score = F.lit(0.0)
             for i, m in enumerate(means):
-                if m is not None:
+                if m is not None and i != skip_n:
                     score = score + F.lit(m * m) * F.col(f"__fw_o{i}") - F.lit(2 * m) * F.col(f"__fw_z{i}")
             for i, m in enumerate(modes):
-                if m is not None:
+                if m is not None and i != skip_c:
                     score = score - F.when(F.col(f"__fw_x{i}") == F.lit(m).cast("long"), F.lit(self.gamma)).otherwise(F.lit(0.0))
             scores.append(score)
-        work = scaled.withColumns(plain).withColumn("__fw_d", F.array(*scores)).drop(*plain)
-        return work.withColumn("__fw_cluster", F.array_position("__fw_d", F.array_min("__fw_d")).cast("int") - 1).drop("__fw_d")
+        return F.array(split_code(scores[0]), *scores[1:])
+
+    def _plain(self, scaled: DataFrame) -> DataFrame:
+        nums, cats = self._names()
+        plain = {f"__fw_z{i}": F.coalesce(F.col(c), F.lit(0.0)) for i, c in enumerate(nums)} | {f"__fw_o{i}": F.when(F.col(c).isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0)) for i, c in enumerate(nums)}
+        return scaled.withColumns(plain | {f"__fw_x{i}": F.coalesce(F.col(c), F.lit(0).cast("long")) for i, c in enumerate(cats)})
+
+    def _clustered(self, scaled: DataFrame, name: str = "__fw_cluster", blind: str | None = None) -> DataFrame:
+        """``scaled`` with the index of the nearest prototype in ``name``."""
+        nums, cats = self._names()
+        gone = [f"__fw_{x}{i}" for x in "zo" for i in range(len(nums))] + [f"__fw_x{i}" for i in range(len(cats))]
+        work = self._plain(scaled).withColumn("__fw_d", self._scores(blind)).drop(*gone)
+        return work.withColumn(name, F.array_position("__fw_d", F.array_min("__fw_d")).cast("int") - 1).drop("__fw_d")
 
     def _summary(self, clustered: DataFrame) -> list:
         """Means and modes by cluster, from one scan: rows (cluster, column, mean or mode)."""
@@ -127,20 +138,27 @@ class KPrototypesImputer:
         return by_code.where("m > 0").groupBy("__fw_cluster", "what").agg(F.max_by("code", F.struct("m", -F.col("code"))).alias("code"), F.sum("s").alias("s"), F.sum("m").alias("m")).collect()  # at most k x features rows
 
     def fit(self, df: DataFrame) -> "KPrototypesImputer":
-        """Refine the prototypes over all rows of ``df``."""
-        compile_small(df.sparkSession)
+        """Refine the prototypes over all rows of ``df`` and take the typical values of clusters, parents and all rows."""
         nums, cats = self._names()
-        features = self._features(df).select(*nums, *cats)
-        bounded = [F.when(F.abs(F.col(c)) < 1e12, F.col(c)) for c in nums]
-        row = features.agg(*[F.avg(c) for c in bounded], *[F.stddev_pop(c) for c in bounded]).first()
-        self.center = [float(x or 0.0) for x in row[: len(nums)]]
-        self.spread = [float(x) if x and math.isfinite(x) else 1.0 for x in row[len(nums) : 2 * len(nums)]]
+        parent = [f"__fw_p{i}" for i in range(len(self.parent))]
+        value = {t: f"__fw_v_{t}" for t in self.targets}
+        # What the passes need, stored once; each of them scans this table, not the source.
+        kept = self._features(df).withColumns({p: F.col(f"__fw_v_{c}") for p, c in zip(parent, self.parent)})
+        features = store(kept.select(*nums, *cats, *parent, *dict.fromkeys(value.values())))
+        row = features.agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 1000) for c in nums], F.lit(0)).first()
+        quartiles = [q or [0.0, 0.0, 0.0] for q in row[: len(nums)]]
+        wide = features.agg(*[F.stddev_pop(F.when(F.abs(F.col(c)) < 1e12, F.col(c))) for c in nums], F.lit(0)).first()
+        self.center = [float(q[1]) for q in quartiles]
+        # Where half the rows are equal the quartiles say nothing; then all rows' deviation does.
+        self.spread = [float(q[2] - q[0]) / 1.349 or float(wide[i] or 0.0) or 1.0 for i, q in enumerate(quartiles)]
         features = self._scaled(features)
-        first = features.groupBy(*cats).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in nums])
+        lead = [c for c, name in zip(cats, self.categorical) if name in self.targets] or cats
+        rest = [c for c in cats if c not in lead]
+        first = features.groupBy(*lead).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in nums], *[F.mode(c, True).alias(c) for c in rest])
         whole = F.lit(True)
-        for c in cats:
+        for c in lead:
             whole = whole & F.col(c).isNotNull()
-        first = first.orderBy(F.desc(whole), F.desc("n"), *cats).limit(self.k).collect()  # complete combinations first
+        first = first.orderBy(F.desc(whole), F.desc("n"), *lead).limit(self.k).collect()  # complete combinations first
         self.prototypes = [([r[c] for c in nums], [r[c] for c in cats]) for r in first]
         for _ in range(self.max_iter if self.prototypes else 0):
             rows = self._summary(self._clustered(features))
@@ -158,6 +176,19 @@ class KPrototypesImputer:
             self.prototypes = new
             if same and moved < self.tol:
                 break
+        self._by_cluster = {}
+        for t, v in value.items():
+            if not self.prototypes:
+                break
+            found = self._clustered(features.where(F.col(v).isNotNull()), "__fw_cluster", t).groupBy("__fw_cluster").agg(self._typical(t, v).alias("x"), F.count(F.lit(1)).alias("n"))
+            self._by_cluster[t] = {r["__fw_cluster"]: r["x"] for r in found.collect() if r["n"] >= self.support}  # at most k rows
+        agg = [self._typical(t, v).alias(f"__fw_u_{t}") for t, v in value.items()]
+        everyone = features.agg(*agg).first()
+        self._everyone = {t: everyone[i] for i, t in enumerate(value)}
+        whole = F.lit(True)
+        for p in parent:
+            whole = whole & F.col(p).isNotNull()
+        self._by_parent = cut(features.where(whole).groupBy(*parent).agg(*agg)) if parent else None
         return self
 
     def _typical(self, t: str, c: str) -> Column:
@@ -168,33 +199,26 @@ class KPrototypesImputer:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with ``<target>_filled`` and ``<target>_method``."""
-        compile_small(df.sparkSession)
         if not self.prototypes:
             self.fit(df)
         value = {t: f"__fw_v_{t}" for t in self.targets}
         parent = [f"__fw_p{i}" for i in range(len(self.parent))]
         known = self._features(df).withColumns({p: F.col(f"__fw_v_{c}") for p, c in zip(parent, self.parent)})
+        kind = dict(known.dtypes)
         rows = self._clustered(self._scaled(known)) if self.prototypes else known.withColumn("__fw_cluster", F.lit(0))
-        # Typical values of every level: k clusters, the parents, all.
-        agg = [self._typical(t, v).alias(f"__fw_t_{t}") for t, v in value.items()]
-        by_cluster = cut(rows.groupBy("__fw_cluster").agg(*agg))
-        everyone = cut(known.agg(*[a.alias(f"__fw_g_{t}") for a, t in zip(agg, value)]))
         if self.group_key is not None and self.group_targets:
             rows = self._with_groups(known.withColumn("__fw_key", self.group_key), rows.withColumn("__fw_key", self.group_key), value)
-        rows = rows.join(F.broadcast(by_cluster), "__fw_cluster", "left").join(F.broadcast(everyone))  # k rows, and one row
         if parent:
-            whole = F.lit(True)
-            for p in parent:
-                whole = whole & F.col(p).isNotNull()
-            by_parent = cut(known.where(whole).groupBy(*parent).agg(*[a.alias(f"__fw_u_{t}") for a, t in zip(agg, value)]))
-            rows = join_small(rows, by_parent, parent)
+            rows = join_small(rows, self._by_parent, parent)
         out: dict[str, Column] = {}
         taken = list(df.columns)
         for t, v in value.items():
+            lit = lambda x, k=kind[v]: F.lit(x).cast(k)
+            typical = F.array(*[lit(self._by_cluster.get(t, {}).get(j)) for j in range(len(self.prototypes))]) if self.prototypes else F.array(lit(None))
             levels = [(F.col(v), None)]
             if self.group_key is not None and t in self.group_targets:
                 levels.append((F.col(f"__fw_k_{t}"), "group"))
-            levels += [(F.col(f"__fw_t_{t}"), "cluster")] + ([(F.col(f"__fw_u_{t}"), "parent")] if parent else []) + [(F.col(f"__fw_g_{t}"), "global")]
+            levels += [(F.get(typical, F.col("__fw_cluster")), "cluster")] + ([(F.col(f"__fw_u_{t}"), "parent")] if parent else []) + [(lit(self._everyone[t]), "global")]
             method = F.lit("none")
             for c, name in reversed(levels):
                 method = F.when(c.isNotNull(), F.lit(name).cast("string")).otherwise(method)

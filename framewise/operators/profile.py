@@ -1,11 +1,12 @@
-"""Column-level data quality profile by load, from file footers where they suffice and scans where they don't."""
+"""Column-level data quality profile, from file footers and dictionaries where they suffice and scans where they don't."""
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Mapping, Sequence
-from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,10 @@ from framewise.plans.scale import cut, join_small
 
 FOOTER = "file string, row_group int, column string, n_rows long, n_nulls long, least string, most string, dictionary boolean, by_least string, by_most string"
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+#: Kinds of columns that chunks are counted by and for; with any other the frame is aggregated by Spark.
+WHOLE, PLAIN = ("tinyint", "smallint", "int", "bigint", "string", "date"), (*NUMBERS, "string")
+#: Rows of a chunk that a task decodes at once.
+SLICE = 65_536
 
 
 def _open(path: str):
@@ -28,6 +33,30 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def plain_files(df: DataFrame) -> list[str]:
+    """The Parquet files of a frame that is nothing but their rows, with columns left out at most; else an empty list.
+
+    A filter, a limit, a computed or renamed column, a partition column, a file system that footers can't be read from: all give the empty list.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.nodeName() == "Project":
+        items = plan.projectList()
+        if any(items.apply(k).getClass().getSimpleName() != "AttributeReference" for k in range(items.size())):
+            return []
+        plan = plan.child()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation" or not plan.relation().partitionSchema().isEmpty():
+        return []
+    files = df.inputFiles()
+    if not all(f.endswith(".parquet") for f in files):
+        return []
+    try:
+        for f in files[:1]:
+            _open(f)
+    except Exception:  # a scheme without a reader
+        return []
+    return list(files)
+
+
 def read_footers(spark: SparkSession, files: Sequence[str], columns: Sequence[str], by: str | None) -> DataFrame:
     """One row per row group and column: counts and extrema as the Parquet footer states them.
 
@@ -62,7 +91,8 @@ def read_footers(spark: SparkSession, files: Sequence[str], columns: Sequence[st
                             s = col.statistics
                             nulls = s.null_count if s is not None and s.has_null_count else -1
                             lo, hi = (text(s, s.min), text(s, s.max)) if s is not None and s.has_min_max else (None, None)
-                            encoded = not set(col.encodings) - {"PLAIN_DICTIONARY", "RLE_DICTIONARY", "RLE", "BIT_PACKED"}
+                            # A plain page beside a dictionary shows as PLAIN twice, or in the page counts of the writer; one PLAIN is the dictionary's own.
+                            encoded = col.has_dictionary_page and list(col.encodings).count("PLAIN") <= 1 and not set(col.encodings) - {"PLAIN", "PLAIN_DICTIONARY", "RLE_DICTIONARY", "RLE", "BIT_PACKED"}
                             rows.append((file, g, c, rg.num_rows, nulls, lo, hi, encoded, bl, bm))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in FOOTER.split(", ")])
 
@@ -70,26 +100,115 @@ def read_footers(spark: SparkSession, files: Sequence[str], columns: Sequence[st
     return spark.createDataFrame([(f,) for f in files], "file string").repartition(n).mapInPandas(run, FOOTER)
 
 
-def dictionary_candidates(spark: SparkSession, files: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Distinct candidates (column, value) of text columns from the dictionaries of their column chunks.
+def _enough(kinds: Mapping[str, str]) -> Column:
+    """Whether a footer tells every value of a chunk: nothing but nulls, or a single exact text or integer without nulls."""
+    exact = [c for c, k in kinds.items() if k in ("tinyint", "smallint", "int", "bigint", "string")]
+    constant = F.col("column").isin(exact) & (F.col("n_nulls") == 0) & (F.col("least") == F.col("most"))
+    return F.coalesce((F.col("n_nulls") == F.col("n_rows")) | constant, F.lit(False))
+
+
+COUNTED = "load string, column string, text string, number double, n long, route string"
+
 
-    Only chunks that are dictionary-encoded throughout are read, as dictionaries; the values of a chunk's
-    dictionary are all values of the chunk. Chunks without one are left to a scan (see ``profile``).
+def count_chunks(foot: DataFrame, by: str | None, kinds: Mapping[str, str]) -> DataFrame:
+    """(load, column, text or number, n, route) of every value in the chunks of ``foot``, counted by chunk.
+
+    A chunk (a row group's column) whose footer is ``enough`` is not read; what its rows belong to comes from the footer
+    of ``by``, or, if the row group holds several loads, from that column alone. Of the other chunks, those of texts
+    that are dictionary-encoded are read as codes and their dictionary, so a value is decoded once a chunk, not once a row;
+    the rest is decoded. ``route`` tells which way was taken: footer, dictionary or scan. Nulls and NaNs count as null.
     """
-    foot = read_footers(spark, files, columns, None).where("dictionary")
+    numbers = {c for c, k in kinds.items() if k in NUMBERS}
+    cells = F.to_json(F.collect_list(F.struct("column", "n_rows", "n_nulls", "least", "dictionary", "enough")), {"ignoreNullFields": "false"})
+    groups = foot.groupBy("file", "row_group").agg(cells.alias("cells"), F.first("by_least").alias("by_least"), F.first("by_most").alias("by_most"))
+    names = [x.split()[0] for x in COUNTED.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
         import pyarrow.parquet as pq
 
+        def rows(load, column, value, n, route):
+            number = column in numbers
+            return load, column, None if number or value is None else str(value), float(value) if number and value is not None else None, int(n), route
+
         for batch in batches:
-            for r in batch.itertuples():
+            for r in batch.itertuples(index=False):
+                known, todo = [], []
+                for c in json.loads(r.cells):
+                    (known if c["enough"] else todo).append(c)
+                one = by is None or (r.by_least is not None and r.by_least == r.by_most)
+                fixed = {c["column"]: c["least"] if c["n_nulls"] == 0 else None for c in known}
+                if one:
+                    yield pd.DataFrame([rows(r.by_least if by else None, c["column"], fixed[c["column"]], c["n_rows"], "footer") for c in known], columns=names)
+                    if not todo:
+                        continue
+                want = [c["column"] for c in todo] + ([] if one else [by] if by not in {c["column"] for c in todo} else [])
+                packed = [c["column"] for c in todo if c["dictionary"] and c["column"] not in numbers]
                 fs, path = _open(r.file)
                 with fs.open_input_file(path) as f:
-                    col = pq.ParquetFile(f, read_dictionary=[r.column]).read_row_group(r.row_group, columns=[r.column]).column(0)
-                    for chunk in col.chunks:
-                        yield pd.DataFrame({"column": r.column, "value": [str(x) for x in chunk.dictionary.to_pylist()]}, columns=["column", "value"])
-
-    return foot.select("file", "row_group", "column").repartition("file", "row_group").mapInPandas(run, "column string, value string").distinct()
+                    for part in pq.ParquetFile(f, read_dictionary=packed).iter_batches(batch_size=SLICE, row_groups=[r.row_group], columns=want):
+                        if one:
+                            code, loads = np.zeros(len(part), np.int64), [r.by_least if by else None]
+                        else:
+                            found, loads = pd.factorize(part.column(by).to_pandas().astype(object))
+                            code, loads = np.where(found < 0, len(loads), found), [str(x) for x in loads] + [None]
+                            for column, value in fixed.items():
+                                yield pd.DataFrame([rows(loads[k], column, value, n, "footer") for k, n in enumerate(np.bincount(code)) if n], columns=names)
+                        for c in todo:
+                            column = part.column(c["column"])
+                            if pa.types.is_dictionary(column.type):
+                                place, values, route = column.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), column.dictionary.to_pylist(), "dictionary"
+                            else:
+                                place, values = pd.factorize(column.to_pandas())
+                                route = "scan"
+                            pair, n = np.unique(code * (len(values) + 1) + place + 1, return_counts=True)
+                            at, which = np.divmod(pair, len(values) + 1)
+                            text = [None if k == 0 else values[k - 1] for k in which]
+                            yield pd.DataFrame([rows(loads[k], c["column"], v, m, route) for k, v, m in zip(at, text, n)], columns=names)
+
+    tasks = 4 * foot.sparkSession.sparkContext.defaultParallelism
+    return groups.repartition(tasks, "file", "row_group").mapInPandas(run, COUNTED)
+
+
+def table_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per column of a whole table: ``n_rows``, ``n_nulls``, ``null_rate``, ``least``, ``most`` (numbers as numbers in
+    ``low``/``high``), ``n_distinct``, and by which way chunks came in: ``from_footer``, ``from_dictionary``, ``from_scan``.
+
+    Rows, nulls and extrema are those of the footers wherever these are exact, with no data page read. For distinct
+    values, footers of constant chunks suffice, dictionaries give the candidates of dictionary-encoded texts, and
+    only the other chunks are decoded. NaN counts as null and is no extremum. Where a footer lacks exact nulls or extrema (a long text,
+    a column with NaN), those come from the counted values. Frames that aren't plain Parquet files are aggregated by
+    Spark. A table without rows gives 0 rows, null extrema.
+    """
+    kinds = {c: k for c, k in df.dtypes if c in columns and k in PLAIN}
+    files = plain_files(df)
+    names = list(kinds)
+    if files:
+        foot = read_footers(df.sparkSession, files, names, None).withColumn("enough", _enough(kinds)).persist()
+        counted = cut(count_chunks(foot, None, kinds).groupBy("column", "text", "number").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("route") == w, F.col("n"))).alias(w) for w in ("footer", "dictionary", "scan")]))
+    else:
+        foot = None
+        parts = F.array(*[F.struct(F.lit(c).alias("column"), (F.lit(None) if k in NUMBERS else F.col(f"`{c}`")).cast("string").alias("text"), (F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`")) if k in NUMBERS else F.lit(None)).cast("double").alias("number")) for c, k in kinds.items()])
+        counted = df.select(F.explode(parts).alias("p")).groupBy("p.column", "p.text", "p.number").agg(F.count(F.lit(1)).alias("n"), *[(F.count(F.lit(1)) if w == "scan" else F.lit(None).cast("long")).alias(w) for w in ("footer", "dictionary", "scan")])
+    empty = F.col("text").isNull() & F.col("number").isNull()
+    stats = counted.groupBy("column").agg(
+        F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(empty, F.col("n"))), F.lit(0)).alias("n_nulls"), F.min("text").alias("least"), F.max("text").alias("most"),
+        F.min(F.col("number") + F.lit(0.0)).alias("low"), F.max(F.col("number") + F.lit(0.0)).alias("high"), F.sum((~empty).cast("long")).alias("n_distinct"),
+        *[F.coalesce(F.sum(w), F.lit(0)).alias(f"from_{w}") for w in ("footer", "dictionary", "scan")])
+    if foot is not None:
+        number = F.col("column").isin([c for c, k in kinds.items() if k in NUMBERS]) if any(k in NUMBERS for k in kinds.values()) else F.lit(False)
+        bare = F.col("n_nulls") == F.col("n_rows")
+        side = lambda c: F.coalesce(F.max(F.when(F.col(c).isNull() & ~bare, 1)), F.lit(0)) == 0
+        told = foot.groupBy("column").agg(
+            (side("least") & side("most")).alias("exact"), F.min(F.when(~number, F.col("least"))).alias("fl"), F.max(F.when(~number, F.col("most"))).alias("fm"),
+            F.min(F.when(number, F.col("least").cast("double")) + F.lit(0.0)).alias("fn"), F.max(F.when(number, F.col("most").cast("double")) + F.lit(0.0)).alias("fx"))
+        stats = stats.join(F.broadcast(told), "column", "left")  # one row a column
+        for c, f in (("least", "fl"), ("most", "fm"), ("low", "fn"), ("high", "fx")):
+            stats = stats.withColumn(c, F.when(F.coalesce("exact", F.lit(False)), F.col(f)).otherwise(F.col(c)))
+    frame = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
+    out = frame.join(stats, "column", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return out.select(F.col("column").alias("column_name"), zero("n_rows"), zero("n_nulls"), (F.col("n_nulls") / F.col("n_rows")).alias("null_rate"), "least", "most", "low", "high", zero("n_distinct"), *[zero(f"from_{w}") for w in ("footer", "dictionary", "scan")])
 
 
 def _known(c: str, kind: str) -> Column:
@@ -135,47 +254,29 @@ def _bin(value: Column, kind: str) -> Column:
     return F.upper(F.regexp_extract(value, r"[\p{L}\p{N}]", 0))
 
 
-def _counts(scan: DataFrame, by: str, columns: Mapping[str, str]) -> DataFrame:
-    """(load, column, value as text, n): distinct values with counts, counted before the shuffle. Null = no known value."""
-    parts = F.array(*[F.struct(F.lit(c).alias("column"), _known(c, kind).cast("string").alias("value")) for c, kind in columns.items()])
-    return scan.select(F.col(by).alias("load"), F.explode(parts).alias("p")).groupBy("load", "p.column", "p.value").agg(F.count(F.lit(1)).alias("n"))
-
-
 def value_counts_by_load(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
-    """Counts of known values by load and column, reading data pages only where footers don't suffice.
+    """(load, column, value, n, n_footer, n_dictionary): counts of known values, and how many rows footers or dictionaries told of.
 
-    A row group's column needs no scan if its footer shows one load and either nothing but nulls or a
-    single exact text or integer without nulls; its counts then come from the footer. Files in which
-    some column needs one are scanned by Spark for those columns only. Frames that aren't plain
-    Parquet files are scanned whole.
+    A frame that is the plain rows of Parquet files is counted chunk by chunk (``count_chunks``); any other - with a
+    filter, a limit or a computed column - is aggregated as it stands. Either way values are judged known or not after they
+    are counted, once each.
     """
-    spark, kinds = df.sparkSession, dict(df.dtypes)
+    kinds = dict(df.dtypes)
     columns = [c for c in columns if c in kinds]
-    try:
-        files = df.inputFiles()
-    except Exception:
-        files = []
-    if not files or not all(f.endswith(".parquet") for f in files):
-        return _counts(df, by, {c: kinds[c] for c in columns}).groupBy("load", "column", "value").agg(F.sum("n").alias("n"))
-    foot = read_footers(spark, files, columns, by)
-    exact = ["tinyint", "smallint", "int", "bigint", "string"]
-    constant = F.col("column").isin([c for c in columns if kinds[c] in exact]) & (F.col("n_nulls") == 0) & (F.col("least") == F.col("most"))
-    enough = (F.col("by_least") == F.col("by_most")) & ((F.col("n_nulls") == F.col("n_rows")) | constant)
-    foot = foot.withColumn("enough", F.coalesce(enough, F.lit(False))).persist()
-    todo = foot.where("not enough").groupBy("file").agg(F.sort_array(F.collect_set("column")).alias("cs")).groupBy("cs").agg(F.collect_list("file").alias("files")).collect()  # as long as the file list the driver plans with
-    parts = []
-    for r in todo:
-        parts.append(_counts(spark.read.schema(df.schema).parquet(*r["files"]), by, {c: kinds[c] for c in r["cs"]}))
-    scanned = {f: set(r["cs"]) for r in todo for f in r["files"]}
-    if foot.where("enough").limit(1).count():
-        known = reduce(lambda a, b: a.otherwise(b), [F.lit(None).cast("string")])
-        for c in columns:
-            known = F.when(F.col("column") == c, _known("least", "string") if kinds[c] == "string" else _known("least", kinds[c]).cast("string")).otherwise(known)
-        covered = spark.createDataFrame([(f, c) for f, cs in scanned.items() for c in cs], "file string, column string")
-        rest = foot.where("enough").join(covered, ["file", "column"], "left_anti")
-        parts.append(rest.select(F.col("by_least").cast(kinds[by]).alias("load"), "column", F.when(F.col("n_nulls") == 0, known).alias("value"), F.col("n_rows").alias("n")))
-    out = reduce(DataFrame.union, parts) if parts else _counts(df.limit(0), by, {c: kinds[c] for c in columns})
-    return out.groupBy("load", "column", "value").agg(F.sum("n").alias("n"))
+    own = {c: kinds[c] for c in columns}
+    files = plain_files(df) if columns and kinds[by] in WHOLE and all(k in PLAIN for k in own.values()) else []
+    if files:
+        foot = read_footers(df.sparkSession, files, columns, by).withColumn("enough", _enough(own))
+        raw = count_chunks(foot, by, own)
+        told = lambda w: F.coalesce(F.sum(F.when(F.col("route") == w, F.col("n"))), F.lit(0))
+        raw = raw.groupBy(F.col("load").cast(kinds[by]).alias("load"), "column", "text", "number").agg(F.sum("n").alias("n"), told("footer").alias("n_footer"), told("dictionary").alias("n_dictionary"))
+    elif not columns:
+        return df.sparkSession.createDataFrame([], f"load {kinds[by]}, column string, value string, n long, n_footer long, n_dictionary long")
+    else:
+        parts = F.array(*[F.struct(F.lit(c).alias("column"), (F.lit(None) if k in NUMBERS else F.col(f"`{c}`")).cast("string").alias("text"), (F.col(f"`{c}`") if k in NUMBERS else F.lit(None)).cast("double").alias("number")) for c, k in own.items()])
+        raw = df.select(F.col(f"`{by}`").alias("load"), F.explode(parts).alias("p")).groupBy("load", "p.column", "p.text", "p.number").agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("n_footer"), F.lit(0).cast("long").alias("n_dictionary"))
+    value = F.coalesce(_known("text", "string"), _known("number", "double").cast("string"))
+    return raw.groupBy("load", "column", value.alias("value")).agg(*[F.sum(c).alias(c) for c in ("n", "n_footer", "n_dictionary")])
 
 
 def _divergence(counts: DataFrame, what: str) -> DataFrame:
@@ -202,7 +303,7 @@ def profile(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     ``n_rows``, ``n_missing`` (null, NaN, blank and stand-ins for "unknown"), ``missing_share``,
     ``n_distinct``, ``distinct_share`` (of known values), ``least``/``most`` (as text; numbers in their
     order), ``low``/``high`` (1 % and 99 % of numbers; of texts, of the first number in them), ``n_forms``
-    and ``top_form`` (written forms), ``form_shift``, ``start_shift``, ``bin_shift`` and ``size_shift``
+    and ``top_form`` (written forms), ``n_footer``/``n_dictionary`` (rows that file footers or dictionaries told of), ``form_shift``, ``start_shift``, ``bin_shift`` and ``size_shift``
     (total-variation distance of written forms, of the starts of texts' forms, of value bins and of the
     sizes of the numbers in texts from those of the other loads), each with the ``_chance`` that a load of
     its size has anyway. A load without known values has null statistics. An empty table gives
@@ -219,11 +320,11 @@ def profile(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     x = F.when(is_num, F.col("value").cast("double"))
     counts = counts.withColumns({"x": x, "y": F.when(is_num, x).otherwise(F.get(_numbers(F.col("value")), F.lit(0))), "form": form, "bin": bins, "size": F.when(~is_num, _sizes(F.col("value")))})
     small = cut(counts.groupBy("load", "column", "form", "bin", "size").agg(
-        F.sum("n").alias("n"), F.count("value").alias("d"), F.min("value").alias("lt"), F.max("value").alias("mt"), F.min("x").alias("lx"), F.max("x").alias("mx"), F.min("y").alias("ly"),
+        *[F.sum(c).alias(c) for c in ("n", "n_footer", "n_dictionary")], F.count("value").alias("d"), F.min("value").alias("lt"), F.max("value").alias("mt"), F.min("x").alias("lx"), F.max("x").alias("mx"), F.min("y").alias("ly"),
         F.percentile_approx("y", [0.5], 1000).alias("mid")))
     known = small.where("form is not null")
     stats = small.groupBy("load", "column").agg(
-        F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("form").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"), F.sum("d").alias("n_distinct"),
+        F.sum("n").alias("n_rows"), F.sum("n_footer").alias("n_footer"), F.sum("n_dictionary").alias("n_dictionary"), F.coalesce(F.sum(F.when(F.col("form").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"), F.sum("d").alias("n_distinct"),
         F.coalesce(F.min("lx").cast("string"), F.min("lt")).alias("least"), F.coalesce(F.max("mx").cast("string"), F.max("mt")).alias("most"), F.count_distinct("form").alias("n_forms"))
     forms = known.groupBy("load", "column", "form").agg(F.sum("n").alias("n")).groupBy("load", "column").agg(F.max_by("form", F.struct("n", "form")).alias("top_form"))
     upto = Window.partitionBy("load", "column").orderBy("ly", "bin", "form", "size")
@@ -235,7 +336,7 @@ def profile(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
         out = out.join(other, ["load", "column"], "left")
     present = F.col("n_rows") - F.col("n_missing")
     return out.withColumn("missing_share", F.col("n_missing") / F.col("n_rows")).withColumn("distinct_share", F.when(present > 0, F.col("n_distinct") / present)).select(
-        F.col("load").alias(by), F.col("column").alias("column_name"), "n_rows", "n_missing", "missing_share", "n_distinct", "distinct_share", "least", "most", "low", "high", "n_forms", "top_form", *[f"{k}_{x}" for k in ("form", "start", "bin", "size") for x in ("shift", "chance")])
+        F.col("load").alias(by), F.col("column").alias("column_name"), "n_rows", "n_missing", "missing_share", "n_distinct", "distinct_share", "least", "most", "low", "high", "n_forms", "top_form", "n_footer", "n_dictionary", *[f"{k}_{x}" for k in ("form", "start", "bin", "size") for x in ("shift", "chance")])
 
 
 def departures(profiled: DataFrame, by: str, limit: float = 8.0) -> DataFrame:

@@ -3,25 +3,46 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to this many rows; its columns are keys and scalars.
 BROADCAST_ROWS = 50_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data: the one the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a temporary folder is made.
+    Only a session on one machine (tests, a laptop) may leave that unset and gets a temporary folder; on a cluster
+    executors don't see the driver's folders, so there it is an error.
     """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    there = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if there.isDefined():
+        return there.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="framewise-")
+
+
+def split_code(c: Column) -> Column:
+    """``c`` (a number) unchanged, by way of a lambda. Spark puts a projection with a lambda in it outside whole-stage code and
+    splits its expressions into small methods; a large projection inside becomes one method, which the JVM
+    interprets if it is over 8,000 bytes."""
+    return F.get(F.transform(F.array(c), lambda v: v + F.lit(0.0)), F.lit(0))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framewise-"))
+        sc.setCheckpointDir(shared_folder(spark))
     done = df.checkpoint(eager=True)
     # A checkpoint keeps the size that its plan was estimated at, and a join multiplies its sides' sizes: over the rounds
     # of a loop the estimate doubles its digits each time. A frame over the stored rows alone has none; adaptive
@@ -30,10 +51,27 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
 
 
-def compile_small(spark: SparkSession) -> None:
-    """Have generated methods over 8,000 bytes split: the JVM never compiles larger ones, it interprets them."""
-    if int(spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535")) > 8000:
-        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+def store(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a Parquet table in the shared folder: for tables with many rows that are scanned several times,
+    by column and compressed."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what ``cut`` and ``store`` have left in the shared folder for this application. Frames built on it can't be read any more."""
+    sc = spark.sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    there = sc._jsc.sc().getCheckpointDir()
+    folders = [there.get()] if there.isDefined() else []
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(conf)
+        for item in fs.listStatus(path) if fs.exists(path) else []:
+            if item.getPath().getName().startswith(("rdd-", "stored-")):
+                fs.delete(item.getPath(), True)
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framewise.operators.hotkeys import key_profile
 from framewise.operators.impute import KPrototypesImputer, filled_cells, known_code, known_number, known_text
 from framewise.operators.ingest import Field, at_most, has_letter, is_clean, parse_lines, plain_number, split_valid
-from framewise.operators.profile import departures, profile
+from framewise.operators.profile import departures, profile, table_profile
 from framewise.operators.segment import split_packed
 from framewise.plans.scale import table
 
@@ -26,17 +26,21 @@ def sex_value(c) -> object:
 def titanic_imputer() -> KPrototypesImputer:
     values = {"Age": known_number(F.col("Age")), "Embarked": known_text(F.col("Embarked"), r"\A[A-Z]{1,3}\z"), "Pclass": known_code(F.col("Pclass"), [1, 2, 3]), "Sex": sex_value(F.col("Sex"))}
     numeric = {"Age": None, "Fare": F.log1p(F.abs(known_number(F.col("Fare")))), "SibSp": F.col("SibSp"), "Parch": F.col("Parch")}
-    categorical = {"Sex": None, "Pclass": None, "Embarked": None}
+    title = F.regexp_extract(F.lower("Name"), r"\b(mrs|mr|miss|master)\b", 1)
+    categorical = {"Sex": None, "Pclass": None, "Embarked": None, "title": F.when(title != "", title), "hour": F.hour("boarded_at")}
     return KPrototypesImputer(values=values, targets=FILLED, numeric=numeric, categorical=categorical, parent=["Pclass", "Sex"], group_key=F.col("Ticket"), group_targets=["Embarked", "Pclass"])
 
 
+PASSENGERS = ["rec_id", "Age", "Embarked", "Pclass", "Sex", "Fare", "SibSp", "Parch", "Ticket", "Name", "boarded_at"]
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "titanic").select("rec_id", "Age", "Embarked", "Pclass", "Sex", "Fare", "SibSp", "Parch", "Ticket")
-    return filled_cells(titanic_imputer().transform(t), "rec_id", FILLED).select("rec_id", "field_name")
+    t = table(spark, d, "titanic").select(*PASSENGERS)
+    return filled_cells(titanic_imputer().transform(t), "rec_id", FILLED).where("method <> 'none'").select("rec_id", "field_name")
 
 
 def p1_filled(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "titanic").select("rec_id", "Age", "Embarked", "Pclass", "Sex", "Fare", "SibSp", "Parch", "Ticket")
+    t = table(spark, d, "titanic").select(*PASSENGERS)
     return titanic_imputer().transform(t).select("rec_id", *[f"{c}_{x}" for c in FILLED for x in ("filled", "method")])
 
 
@@ -72,6 +76,11 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return profile(table(spark, d, "titanic"), "load_id", ["Pclass", "Survived", "Embarked"]).select("load_id", "column_name", "n_rows", "n_missing", "n_distinct")
 
 
+def p6_table(spark: SparkSession, d: str) -> DataFrame:
+    """The whole table by column; nulls and extrema from footers."""
+    return table_profile(table(spark, d, "titanic"), PROFILED).select("column_name", "n_rows", "n_nulls", F.round("null_rate", 9).alias("null_rate"), "least", "most", "low", "high", "n_distinct")
+
+
 TITANIC_FIELDS = [
     Field("PassengerId", "long"), Field("Survived", "long"), Field("Pclass", "long"),
     Field("Name", "string", (("invalid", lambda x: has_letter(x) & is_clean(x)),)),
@@ -91,9 +100,10 @@ def p7_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_filled, p4_found, p5_found, p5_key_quantiles, p6_found, p6_profile, p6_counts, p7_found, p7_records)}
+    return {f.__name__: f for f in (p1_found, p1_filled, p4_found, p5_found, p5_key_quantiles, p6_found, p6_profile, p6_counts, p6_table, p7_found, p7_records)}
 
 
+_NUMBERS = ("PassengerId", "Survived", "Pclass", "Age", "SibSp", "Parch", "Fare")
 _UNKNOWN = "('','?','??','-','--','.','*','n/a','n.a.','n.a','na','nan','none','null','nil','unk','unknown','undefined','not known','missing','u')"
 
 
@@ -112,6 +122,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT t.Embarked, t.Survived, t.n_rows, coalesce(q.n_values, 0) AS n_values, q."least", q.most, q.q25, q.q50, q.q75
             FROM (SELECT Embarked, Survived, count(*) n_rows FROM titanic GROUP BY ALL) t
             LEFT JOIN q ON t.Embarked IS NOT DISTINCT FROM q.Embarked AND t.Survived IS NOT DISTINCT FROM q.Survived""",
+        "p6_table": " UNION ALL ".join(
+            f"""SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count(x) AS n_nulls, round((count(*) - count(x)) / count(*), 9) AS null_rate, {'NULL::VARCHAR' if c in _NUMBERS else 'min(x)'} AS "least", {'NULL::VARCHAR' if c in _NUMBERS else 'max(x)'} AS most,
+            {'min(x)::DOUBLE + 0.0' if c in _NUMBERS else 'NULL::DOUBLE'} AS low, {'max(x)::DOUBLE + 0.0' if c in _NUMBERS else 'NULL::DOUBLE'} AS high, count(DISTINCT x) AS n_distinct FROM (SELECT {f'CASE WHEN NOT isnan({c}::DOUBLE) THEN {c} END' if c in _NUMBERS else c} AS x FROM titanic)"""
+            for c in PROFILED
+        ),
         "p6_counts": f"""
             WITH v AS (
                 SELECT load_id, 'Pclass' AS column_name, CASE WHEN Pclass NOT IN (-1, -9, -99, -999, 999, 9999) THEN Pclass::VARCHAR END AS x FROM titanic

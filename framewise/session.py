@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from framewise import types
 from framewise.frame import Frame, quoted
 from framewise.operators import partition
-from framewise.plans.scale import compile_small
 from framewise.sources.readers import Reader
 
 
@@ -25,7 +24,6 @@ class Context:
                 builder = builder.config(k, v)
             spark = builder.getOrCreate()
         self.spark = spark
-        compile_small(spark)
 
     @property
     def read(self) -> Reader:

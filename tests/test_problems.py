@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 from framewise.operators.hotkeys import key_profile
 from framewise.operators.impute import KPrototypesImputer, filled_cells, known_code, known_number, known_text
 from framewise.operators.ingest import Field, at_most, has_letter, is_clean, parse_lines, plain_number, split_valid
-from framewise.operators.profile import departures, dictionary_candidates, profile, read_footers, value_counts_by_load
-from framewise.operators.segment import cover, known_values, split_packed
+from framewise.operators.profile import count_chunks, departures, plain_files, profile, read_footers, table_profile, value_counts_by_load
+from framewise.operators.segment import cover, known_values, pieces, split_packed
 
 # Imputation
 
 
 def imputer():
     values = {"age": known_number(F.col("age")), "sex": known_text(F.col("sex")), "port": known_text(F.col("port"), r"\A[A-Z]{1,3}\z"), "cls": known_code(F.col("cls"), [1, 2, 3])}
-    return KPrototypesImputer(values, ["age", "sex", "port", "cls"], {"age": None}, {"sex": None, "port": None, "cls": None}, parent=["cls", "sex"], group_key=F.col("ticket"), group_targets=["port", "cls"], k=4, max_iter=3)
+    return KPrototypesImputer(values, ["age", "sex", "port", "cls"], {"age": None}, {"sex": None, "port": None, "cls": None}, parent=["cls", "sex"], group_key=F.col("ticket"), group_targets=["port", "cls"], k=4, max_iter=3, support=1)
 
 
 COLUMNS = "id long, age double, sex string, port string, cls long, ticket string, age_filled string"
@@ -42,6 +42,37 @@ def test_fill(spark):
     assert cells == {(900, "age"), (901, "sex"), (902, "age"), (902, "port"), (902, "cls"), *((903, c) for c in ("age", "sex", "port", "cls")), (904, "age")}
 
 
+def test_levels_of_filling(spark):
+    """Cluster from enough known records, then parent, then all; without clusters the result differs."""
+    rows = [(i, 30.0 + i % 3, "m" if i % 2 else "f", "S", 3, None, None) for i in range(60)] + [(100 + i, 8.0, "m", "S", 1, None, None) for i in range(30)]
+    rows += [(500, None, "m", "S", 1, None, None), (501, None, "f", "S", 3, None, None), (502, None, None, "S", None, None, None)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    by_support = {}
+    for support in (1, 10**9):
+        i = imputer()
+        i.support, i.parent = support, ["cls", "sex"]
+        by_support[support] = {r["id"]: (r["age_filled_2"], r["age_method"]) for r in i.transform(df).where("id >= 500").collect()}
+    assert by_support[1][500] == (8.0, "cluster") and by_support[1][501][1] == "cluster"
+    assert by_support[10**9][500] == (8.0, "parent") and by_support[10**9][502] == (30.0, "global")
+
+
+def test_fill_is_nearer_than_a_constant(spark):
+    """Known cells hidden: the error of the clusters' medians against that of one median for all, with wild ages among the values."""
+    rnd = random.Random(8)
+    rows, truth = [], {}
+    for i in range(600):
+        cls = rnd.choice([1, 3])
+        age = rnd.gauss(50 if cls == 1 else 20, 4) if i % 25 else 5000.0
+        truth[i] = age
+        rows.append((i, None if i % 10 == 1 else age, "m", "S", cls, None, None))
+    out = imputer().transform(spark.createDataFrame(rows, COLUMNS)).where("age_method = 'cluster'").collect()
+    middle = float(np.median([a for a in truth.values()]))
+    hidden = [r["id"] for r in out if truth[r["id"]] < 200]
+    assert len(hidden) > 40
+    error = np.mean([abs(r["age_filled_2"] - truth[r["id"]]) for r in out if truth[r["id"]] < 200])
+    assert error < 5 < np.mean([abs(middle - truth[i]) for i in hidden])
+
+
 def test_fill_without_values(spark):
     empty = imputer().transform(spark.createDataFrame([], COLUMNS))
     assert empty.count() == 0
@@ -72,13 +103,34 @@ def test_fill_without_values(spark):
     ],
 )
 def test_segments(cell, want):
-    assert cover(cell, []) == want
+    assert cover(cell, [], [(a, b) for a, b, quoted in pieces(cell) if quoted is None and cell[a] != '"']) == want
+
+
+def test_nothing_is_cut_that_nothing_vouches_for():
+    assert cover("A1, B2", [], []) == ["A1, B2"]
+    assert cover("xx yy A1 zz", [], [(6, 8)]) == ["xx yy", "A1", "zz"]
+    assert cover('xx "B2" yy', [], []) == ["xx", "B2", "yy"]
 
 
 def test_known_values_with_separators_stay_whole():
-    assert cover("A1, aft, B2", [(0, 7)]) == ["A1, aft", "B2"]
-    # All parts are known: they win over the whole.
-    assert cover("A1 B2", [(0, 2), (3, 5), (0, 5)]) == ["A1", "B2"]
+    assert cover("A1, aft, B2", [(0, 7)], [(0, 2), (9, 11)]) == ["A1, aft", "B2"]
+    # All parts have the form of a value: they win over the whole.
+    assert cover("A1 B2", [(0, 5)], [(0, 2), (3, 5)]) == ["A1", "B2"]
+
+
+def test_the_dictionary_decides(spark):
+    """Values whose separators only the dictionary protects; without it nothing is cut up."""
+    cells = ["Smith & Sons, Bell", "Bell", "Cook / Hart and Bell", "Smith & Sons"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "id int, cell string")
+    run = lambda words: {(r["id"], r["pos"], r["value"]) for r in split_packed(df, "cell", spark.createDataFrame([(w,) for w in words], "value string")).collect()}
+    got = run(["Smith & Sons", "Cook / Hart", "Bell"])
+    # "Bell" vouches for its form, which is that of Smith, Sons, Cook and Hart too: the parts win ...
+    assert (0, 1, "Smith") in got and (2, 1, "Cook") in got
+    # ... unless they have none of their own.
+    df = df.withColumn("cell", F.replace(F.replace("cell", F.lit("Sons"), F.lit("sons")), F.lit("Hart"), F.lit("hart")))
+    got = run(["Smith & sons", "Cook / hart", "Bell"])
+    assert got == {(0, 1, "Smith & sons"), (0, 2, "Bell"), (1, 1, "Bell"), (2, 1, "Cook / hart"), (2, 2, "Bell"), (3, 1, "Smith & sons")}
+    assert {x for x in run(["zzz9"]) if x[0] != 1} == {(0, 1, "Smith & sons, Bell"), (2, 1, "Cook / hart and Bell"), (3, 1, "Smith & sons")}
 
 
 def test_split_packed(spark):
@@ -165,13 +217,52 @@ def test_profile_finds_written_digits_and_their_range(spark):
 
 def test_footers_spare_scans(spark, tmp_path):
     for k in range(3):
-        spark.createDataFrame([(k, None, "x", float(i)) for i in range(50)], "load int, gone string, same string, v double").coalesce(1).write.parquet(str(tmp_path / f"p{k}.parquet"))
+        spark.createDataFrame([(k, None, "x", float(i), f"t{i % 5}") for i in range(50)], "load int, gone string, same string, v double, t string").coalesce(1).write.parquet(str(tmp_path / f"p{k}.parquet"))
     df = spark.read.parquet(*[str(tmp_path / f"p{k}.parquet") for k in range(3)])
     foot = read_footers(spark, df.inputFiles(), ["gone", "same", "v"], "load").collect()
     assert {(r["column"], r["n_rows"], r["n_nulls"]) for r in foot} == {("gone", 50, 50), ("same", 50, 0), ("v", 50, 0)}
-    counts = {(r["load"], r["column"], r["value"]): r["n"] for r in value_counts_by_load(df, "load", ["gone", "same"]).collect()}
-    assert counts == {**{(k, "gone", None): 50 for k in range(3)}, **{(k, "same", "x"): 50 for k in range(3)}}
-    assert {r["value"] for r in dictionary_candidates(spark, df.inputFiles(), ["same"]).collect()} == {"x"}
+    counts = {(r["load"], r["column"], r["value"]): (r["n"], r["n_footer"]) for r in value_counts_by_load(df, "load", ["gone", "same"]).collect()}
+    assert counts == {**{(k, "gone", None): (50, 50) for k in range(3)}, **{(k, "same", "x"): (50, 50) for k in range(3)}}
+    p = {(r["load"], r["column_name"]): r for r in profile(df, "load", ["gone", "same", "v", "t"]).collect()}
+    assert [(p[(1, c)]["n_footer"], p[(1, c)]["n_dictionary"]) for c in ("gone", "same", "v", "t")] == [(50, 0), (50, 0), (0, 0), (0, 50)]
+    t = {r["column_name"]: r for r in table_profile(df, ["gone", "same", "v", "t", "load"]).collect()}
+    assert (t["gone"]["n_nulls"], t["gone"]["n_distinct"], t["gone"]["from_footer"]) == (150, 0, 150)
+    assert (t["same"]["least"], t["same"]["most"], t["same"]["n_distinct"], t["same"]["from_footer"]) == ("x", "x", 1, 150)
+    assert (t["v"]["low"], t["v"]["high"], t["v"]["n_distinct"], t["v"]["from_scan"]) == (0.0, 49.0, 50, 150)
+    assert (t["t"]["least"], t["t"]["most"], t["t"]["n_distinct"], t["t"]["from_dictionary"]) == ("t0", "t4", 5, 150)
+    assert (t["load"]["low"], t["load"]["high"], t["load"]["n_distinct"], t["load"]["from_footer"]) == (0.0, 2.0, 3, 150)
+
+
+def test_chunks_with_a_footer_are_not_read(spark, tmp_path):
+    """The data pages of constant chunks can be gone."""
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "x", f"t{i % 5}") for i in range(50)], "load int, same string, t string").coalesce(1).write.option("compression", "none").parquet(path)
+    df = spark.read.parquet(path)
+    file = df.inputFiles()[0].removeprefix("file://")
+    chunk = pq.ParquetFile(file).metadata.row_group(0).column(1)
+    data = bytearray(open(file, "rb").read())
+    start = min(x for x in (chunk.data_page_offset, chunk.dictionary_page_offset) if x)
+    data[start : start + chunk.total_compressed_size] = bytes(chunk.total_compressed_size)
+    open(file, "wb").write(data)
+    foot = read_footers(spark, df.inputFiles(), ["same", "t"], "load").withColumn("enough", F.col("column") == "same")
+    got = count_chunks(foot, "load", {"same": "string", "t": "string"}).groupBy("column", "route").agg(F.sum("n").alias("n")).collect()
+    assert {(r["column"], r["route"], r["n"]) for r in got} == {("same", "footer", 50), ("t", "dictionary", 50)}
+
+
+def test_frames_that_are_not_their_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(k, float(i), f"t{i % 5}") for k in range(2) for i in range(50)], "load int, v double, t string").write.parquet(path)
+    df = spark.read.parquet(path)
+    assert plain_files(df) and plain_files(df.select("load", "t"))
+    for other in (df.where("load = 0"), df.limit(10), df.withColumn("v", F.lit(3.0)), df.withColumnRenamed("v", "w"), df.union(df)):
+        assert plain_files(other) == []
+    rows = lambda f: {(r["load"], r["column_name"]): (r["n_rows"], r["n_distinct"]) for r in profile(f, "load", ["v", "t"]).collect()}
+    assert rows(df.where("load = 7")) == {}
+    assert rows(df.where("load = 0")) == {(0, "v"): (50, 50), (0, "t"): (50, 5)}
+    assert sum(n for n, _ in rows(df.limit(10)).values()) == 20
+    assert rows(df.withColumn("v", F.lit(3.0)))[(0, "v")] == (50, 1)
 
 
 # Lines that fail to parse
