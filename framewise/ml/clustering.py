@@ -11,6 +11,7 @@ import numpy as np
 from framewise.ml.base import Column, DataFrame, F, Frame, Model, emit, names, spark_df, x
 from framewise.operators.geo import haversine
 from framewise.operators.graph import connected_components
+from framewise.operators.partition import with_position
 from framewise.plans.scale import cut, free_name, split_code
 
 
@@ -18,7 +19,7 @@ class Kmeans(Model):
     """Lloyd's algorithm. Cost is the sum of distances (not squared); ends when it changes by less than ``epsilon``.
 
     Rows with a null don't take part in ``fit``. ``k-means||`` draws several candidates a round with a
-    chance by their distance and weighs them on the driver (a few hundred points, whatever the data);
+    chance by their distance, at most 20 x ``n_clusters``, and weighs them on the driver (a few hundred points, whatever the data);
     ``random`` draws the rows of the smallest hashes. ``centroids`` fix the start instead. A step is one
     map-side aggregate by nearest centre.
     """
@@ -51,7 +52,8 @@ class Kmeans(Model):
                 break
             chance = F.lit(2.0 * self.n_clusters / total) * F.col("__fw_d")
             drawn = F.pmod(F.xxhash64(F.lit(self.seed + 31 * (step + 1)), *cols), F.lit(1 << 30)) / float(1 << 30) < chance
-            found = d.where(drawn).select(*cols).distinct().limit(20 * self.n_clusters).collect()
+            # About 2 x n_clusters are drawn; of many more, which takes an odd distribution, those of the smallest hashes are kept.
+            found = d.where(drawn).select(*cols).distinct().orderBy(F.xxhash64(F.lit(self.seed), *cols), *cols).limit(20 * self.n_clusters).collect()
             centres += [[float(v) for v in r] for r in found]
         if len(centres) <= self.n_clusters:
             return (centres + [c for c in self._draw(df, 4 * self.n_clusters) if c not in centres])[: self.n_clusters]
@@ -127,10 +129,8 @@ def _density_clusters(df: DataFrame, cells: Sequence[Column], near: Callable[[st
     border = pairs.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("component")).select(F.col("a").alias("node"), "component")
     own = border.join(label.select("node", F.col("component").alias("core")), "node", "left").select("node", F.coalesce("core", "component").alias("component"))
     order = own.select("component").distinct()
-    from pyspark.sql import Window
-
     first = own.join(points.select("node", F.struct(*m).alias("p")), "node").groupBy("component").agg(F.min("p").alias("p"))
-    number = cut(order.join(first, "component").withColumn("k", F.row_number().over(Window.orderBy("p")) - 1).select("component", "k"))  # one row a cluster
+    number = cut(with_position(order.join(first, "component").orderBy("p"), "k").select("component", "k"))
     named = points.select("node", *m).join(own.join(number, "component").select("node", "k"), "node", "left").drop("node")
     out = work.join(named, m, "left")
     return out.select(*[x(c) for c in df.columns if c != pred], F.coalesce("k", F.lit(-1)).cast("int").alias(pred)).drop(rid)

@@ -202,10 +202,15 @@ class StringIndexer(Model):
     def transform(self, data: Frame, input_col=None, output_col=None) -> Frame:
         self.check_fitted()
         cols = names(input_col or self.input_col)
-        place = F.create_map(*[F.lit(v) for k, t in enumerate(self.mapping) for v in (t, k)]) if self.mapping else None
-        get = (lambda c: F.try_element_at(place, x(c).cast("string"))) if place is not None else (lambda c: F.lit(None).cast("int"))
         outs = out_names(cols, output_col, "_indexed") if not isinstance(output_col, str) or len(cols) > 1 else [output_col]
-        return emit(spark_df(data), {o: get(c) for c, o in zip(cols, outs)})
+        df = spark_df(data)
+        # A hash join with the list (bounded by ``fit``): a literal map would be searched from its start for every row.
+        table = df.sparkSession.createDataFrame([(v, k) for k, v in enumerate(self.mapping)], "__fw_value string, __fw_place int")
+        work = df
+        for i, c in enumerate(cols):
+            own = table.select(F.col("__fw_value").alias(f"__fw_value{i}"), F.col("__fw_place").alias(f"__fw_place{i}"))
+            work = work.join(F.broadcast(own), x(c).cast("string") == F.col(f"__fw_value{i}"), "left")
+        return emit(work, {o: F.col(f"__fw_place{i}") for i, o in enumerate(outs)}, [f"__fw_{w}{i}" for w in ("value", "place") for i in range(len(cols))], True)
 
 
 class IndexToString(Model):

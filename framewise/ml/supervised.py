@@ -28,8 +28,8 @@ def _dot(cols: Sequence[Column], weights: Sequence[float]) -> Column:
 class KNearestNeighbors(Model):
     """Majority of the ``k`` nearest training rows (Euclid); ties go to the class with the nearest one.
 
-    The training rows are sent out in blocks of a bounded size; the nearest of all blocks so far go along
-    with a row. Rows without a feature get no prediction.
+    Up to ``block`` training rows are broadcast. More are dealt into blocks, and query points into parts, that meet
+    pair by pair in tasks of their own. Rows without a feature get no prediction.
     """
 
     block = 50_000
@@ -48,50 +48,81 @@ class KNearestNeighbors(Model):
         cols = names(feature_col or self.feature_col)
         df, k, label = spark_df(data), self.k, self._train.schema[self.label_col].dataType
         train = cut(self._train)
-        blocks = max(1, -(-train.count() // self.block))
-        blocks = blocks if blocks == 1 else 2 * blocks
         # Labels travel as places in a sorted list.
         labels = [r[0] for r in train.select(x(self.label_col)).distinct().orderBy(x(self.label_col)).limit(10_001).collect()]
         if len(labels) > 10_000:
             raise ValueError("more than 10,000 classes")
-        place = {v: i for i, v in enumerate(labels)}
+        place = train.sparkSession.createDataFrame([(v, i) for i, v in enumerate(labels)], T.StructType([T.StructField("__fw_label", label), T.StructField("__fw_l", T.IntegerType())]))
+        train = train.join(F.broadcast(place), x(self.label_col) == F.col("__fw_label")).select(F.col("__fw_id").cast("string").alias("id"), F.array(*_features(self.feature_col)).alias("f"), F.col("__fw_l").alias("l"))
         hits = free_name("__fw_near", df.columns)
-        out = df.withColumn(hits, F.array().cast("array<struct<d:double,l:int>>"))
-        pick = F.pmod(F.xxhash64(*_features(self.feature_col)), F.lit(blocks))
-        for b in range(blocks):
-            rows = (train.where(pick == b) if blocks > 1 else train).collect()
-            points = np.array([[float(v) for v in r[1:-1]] for r in rows], float).reshape(len(rows), len(cols))
-            own: dict = {}
-            for i, r in enumerate(rows if self.id_col else []):
-                own.setdefault(r[0], []).append(i)
-            shared = df.sparkSession.sparkContext.broadcast((points, np.array([place[r[-1]] for r in rows], np.int32), own))
-            out = out.withColumn(hits, F.slice(F.array_sort(F.concat(hits, _nearest(shared, k)(x(self.id_col) if self.id_col else F.lit(0), *_features(cols)))), 1, k))
+        own = x(self.id_col).cast("string") if self.id_col else F.lit(None).cast("string")
+        if train.limit(self.block + 1).count() <= self.block:
+            rows = train.collect()
+            shared = df.sparkSession.sparkContext.broadcast((np.array([r["f"] for r in rows], float).reshape(len(rows), len(cols)), np.array([r["l"] for r in rows], np.int32), np.array([r["id"] for r in rows], object)))
+            out = df.withColumn(hits, _nearest(shared, k, bool(self.id_col))(own, *_features(cols)))
+        else:
+            out = self._in_blocks(df, train, cols, own, hits)
         best = F.array_sort(F.transform(F.array_distinct(F.transform(hits, lambda h: h["l"])), lambda c: F.struct((-F.size(F.filter(F.col(hits), lambda h: h["l"] == c))).alias("n"), F.array_position(F.transform(F.col(hits), lambda h: h["l"]), c).alias("p"), c.alias("l"))))
         values = F.array(*[F.lit(v) for v in labels]) if labels else F.array().cast(T.ArrayType(label))
         return emit(out, {pred_col: F.get(values, F.get(best, F.lit(0))["l"])}, [hits], True)
 
-
-def _nearest(shared, k: int):
-    @F.pandas_udf("array<struct<d:double,l:int>>")
+    def _in_blocks(self, df: DataFrame, train: DataFrame, cols: Sequence[str], own: Column, hits: str) -> DataFrame:
+        """``df`` with the nearest training rows of all blocks.
+
+        Distinct query points and training rows are dealt into parts and blocks of about ``block`` rows; a task gets one pair of
+        them and gives each point's nearest in that block, and the nearest of all blocks are taken by point. Nothing goes through the driver.
+        """
+        k, use_id = self.k, bool(self.id_col)
+        queries = cut(df.select(F.array(*_features(cols)).alias("f"), own.alias("id")).where(~F.exists("f", lambda v: v.isNull() | F.isnan(v))).distinct())
+        blocks, parts = [max(1, -(-2 * f.count() // self.block)) for f in (train, queries)]
+        deal = lambda n: F.pmod(F.xxhash64("f", "id"), F.lit(n)).cast("int")
+        copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = queries.withColumns({"part": deal(parts)}).withColumn("block", copies(blocks))
+        right = train.withColumns({"block": deal(blocks)}).withColumn("part", copies(parts))
+
+        def near(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+            if not len(q):
+                return pd.DataFrame([], columns=["f", "id", "near"], dtype=object)
+            points = np.array(t["f"].tolist(), float).reshape(len(t), len(cols))
+            found = nearest(np.array(q["f"].tolist(), float), q["id"].to_numpy(object) if use_id else None, points, t["l"].to_numpy(), t["id"].to_numpy(object), k)
+            return pd.DataFrame({"f": q["f"], "id": q["id"], "near": pd.Series(found, index=q.index, dtype=object)})
+
+        each = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(near, f"f array<double>, id string, near {NEAR}")
+        best = each.groupBy("f", "id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias(hits))  # k a block
+        best = best.select(F.col("f").alias("__fw_f"), F.col("id").alias("__fw_i"), hits)
+        return df.join(best, (F.array(*_features(cols)) == F.col("__fw_f")) & own.eqNullSafe(F.col("__fw_i")), "left").drop("__fw_f", "__fw_i").withColumn(hits, F.coalesce(F.col(hits), F.array().cast(NEAR)))
+
+
+NEAR = "array<struct<d:double,l:int>>"
+
+
+def nearest(q: np.ndarray, ids: np.ndarray | None, points: np.ndarray, labels: np.ndarray, owners: np.ndarray, k: int) -> list[list[dict]]:
+    """The ``k`` nearest points of each query row (distance, label), nearest first, without those of its own id; none for rows with a NaN."""
+    own: dict = {}
+    for i, o in enumerate(owners if ids is not None else []):
+        own.setdefault(o, []).append(i)
+    square, out = (points**2).sum(axis=1), []
+    for at in range(0, len(q), 512):
+        part = q[at : at + 512]
+        d = np.maximum(square[None, :] - 2 * part @ points.T + (part**2).sum(axis=1)[:, None], 0) if len(points) else np.zeros((len(part), 0))
+        for r, key in enumerate(ids[at : at + 512] if own else []):
+            d[r, own.get(key, [])] = np.inf
+        m = min(k, d.shape[1])
+        near = np.argpartition(d, m - 1, axis=1)[:, :m] if m else np.zeros((len(part), 0), int)
+        for r, idx in enumerate(near):
+            idx = idx[np.isfinite(d[r, idx])] if own else idx
+            exact = ((points[idx] - part[r]) ** 2).sum(axis=1)
+            out.append([] if np.isnan(part[r]).any() else [{"d": float(v), "l": int(n)} for v, n in sorted((v, labels[i]) for v, i in zip(exact, idx))])
+    return out
+
+
+def _nearest(shared, k: int, use_id: bool):
+    @F.pandas_udf(NEAR)
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        points, labels, own = shared.value
-        square = (points**2).sum(axis=1)
+        points, labels, owners = shared.value
         for ids, *cols in batches:
-            ids = ids.tolist()
             q = np.column_stack([c.to_numpy(float) for c in cols])
-            out: list[list[dict]] = []
-            for at in range(0, len(q), 512):
-                part = q[at : at + 512]
-                d = np.maximum(square[None, :] - 2 * part @ points.T + (part**2).sum(axis=1)[:, None], 0) if len(points) else np.zeros((len(part), 0))
-                for r, key in enumerate(ids[at : at + 512] if own else []):
-                    d[r, own.get(key, [])] = np.inf
-                m = min(k, d.shape[1])
-                near = np.argpartition(d, m - 1, axis=1)[:, :m] if m else np.zeros((len(part), 0), int)
-                for r, idx in enumerate(near):
-                    idx = idx[np.isfinite(d[r, idx])] if own else idx
-                    exact = ((points[idx] - part[r]) ** 2).sum(axis=1)
-                    out.append([] if np.isnan(part[r]).any() else [{"d": float(v), "l": int(labels[i])} for v, i in sorted(zip(exact, idx))])
-            yield pd.Series(out, dtype=object)
+            yield pd.Series(nearest(q, ids.to_numpy(object) if use_id else None, points, labels, owners, k), dtype=object)
 
     return run
 

@@ -135,12 +135,16 @@ class CountVectorizer(Model):
         return self
 
     def _counted(self, df: DataFrame) -> DataFrame:
-        """``df`` with the counts of the vocabulary's terms as the array ``__fw_vector``. What lambdas use are columns, not computed again for every element."""
+        """``df`` with the counts of the vocabulary's terms as the array ``__fw_vector``: each token is looked up once in a hash table."""
         if not self.vocabulary:
             return df.withColumn("__fw_vector", F.array())
-        work = df.withColumn("__fw_tokens", F.coalesce(_tokens(df, self.input_col), F.array().cast("array<string>")))
-        vocab = F.array(*[F.lit(w) for w in self.vocabulary])
-        return work.withColumn("__fw_vector", F.transform(vocab, lambda w: F.size(F.filter("__fw_tokens", lambda t: t == w))))
+        from pyspark.ml.feature import CountVectorizerModel
+        from pyspark.ml.functions import vector_to_array
+
+        tokens = F.filter(F.coalesce(_tokens(df, self.input_col), F.array().cast("array<string>")), lambda t: t.isNotNull())
+        counter = CountVectorizerModel.from_vocabulary(list(self.vocabulary), inputCol="__fw_tokens", outputCol="__fw_counts")
+        counted = counter.transform(df.withColumn("__fw_tokens", tokens))
+        return counted.withColumn("__fw_vector", vector_to_array("__fw_counts").cast("array<int>")).drop("__fw_tokens", "__fw_counts")
 
     def _vectors(self, work: DataFrame) -> DataFrame:
         return work.withColumn("__fw_vector", F.transform("__fw_vector", lambda n: (n > 0).cast("int"))) if self.binary else work

@@ -8,8 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.plans.scale import cut, free_name, join_small
+from framewise.plans.scale import cut, free_name, join_salted
 
+#: Corners of polygons, over all cells, that are broadcast.
+POINTS = 2_000_000
 #: The WGS 84 ellipsoid and the UTM scale.
 A, FLAT, K0 = 6378137.0, 1 / 298.257223563, 0.9996
 
@@ -31,8 +33,9 @@ def geo_within(df: DataFrame, shapes: DataFrame, lat_col: str, lon_col: str, pol
     """Points with the attributes of the first polygon that holds them; nulls where none does.
 
     Every polygon is spread over the cells of a grid that its bounding box touches, a point falls into
-    one cell, and the two meet in an equi-join on the cell (broadcast if small, else salted), so
-    a point is tested against the few polygons near it. "First" is by the shapes' order.
+    one cell, and the two meet in an equi-join on the cell (broadcast up to ``POINTS`` corners in all, else salted), so
+    a point is tested against the few polygons near it, and isn't shuffled where the polygons are few. "First" is by
+    the shapes' order. Of a polygon's border, what lies to the lesser latitude and longitude belongs to it.
     """
     taken = set(df.columns)
     names = [c for c in (attributes if attributes is not None else shapes.columns) if c in shapes.columns and c != polygon]
@@ -48,13 +51,19 @@ def geo_within(df: DataFrame, shapes: DataFrame, lat_col: str, lon_col: str, pol
     row = lambda y: F.floor((y - F.lit(box[0])) / F.lit(height)).cast("int")
     column = lambda x: F.floor((x - F.lit(box[2])) / F.lit(width)).cast("int")
     spread = s.withColumn("__fw_r", F.explode(F.sequence(row(F.col("__fw_y0")), row(F.col("__fw_y1"))))).withColumn("__fw_c", F.explode(F.sequence(column(F.col("__fw_x0")), column(F.col("__fw_x1")))))
-    points = df.withColumn(rid, F.monotonically_increasing_id()).withColumn("__fw_r", row(lat)).withColumn("__fw_c", column(lon))
-    near = join_small(points, spread, ["__fw_r", "__fw_c"], "left", limit=20_000)
-    hit = F.col("__fw_pid").isNotNull() & (lat >= F.col("__fw_y0")) & (lat <= F.col("__fw_y1")) & (lon >= F.col("__fw_x0")) & (lon <= F.col("__fw_x1")) & _inside(F.col("__fw_pts"), lat, lon)
-    tested = near.withColumn("__fw_pid", F.when(hit, F.col("__fw_pid")))
-    first = F.min_by(F.struct(*[F.col(a) for a, _ in outs], F.lit(1).alias("one")), "__fw_pid").alias("__fw_s")
-    found = tested.groupBy(rid, *[F.col(f"`{c}`") for c in df.columns]).agg(first)
-    return found.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("__fw_s")[a].alias(o) for a, o in outs])
+    # One row a cell with its polygons in order: a point meets one row, so it is neither repeated nor grouped again.
+    inside = F.struct("__fw_pid", "__fw_y0", "__fw_y1", "__fw_x0", "__fw_x1", "__fw_pts", *[a for a, _ in outs])
+    table = cut(spread.groupBy("__fw_r", "__fw_c").agg(F.sort_array(F.collect_list(inside)).alias("__fw_s")))  # as many as the polygons over a cell
+    weight = table.agg(F.sum(F.aggregate("__fw_s", F.lit(0), lambda n, p: n + F.size(p["__fw_pts"])))).first()[0]
+    points = df.withColumns({rid: lat, "__fw_lon": lon, "__fw_r": row(lat), "__fw_c": column(lon)})
+    near = points.join(F.broadcast(table), ["__fw_r", "__fw_c"], "left") if weight <= POINTS else join_salted(points, table, ["__fw_r", "__fw_c"])
+
+    def hit(p: Column) -> Column:
+        y, x = F.col(rid), F.col("__fw_lon")
+        return (y >= p["__fw_y0"]) & (y <= p["__fw_y1"]) & (x >= p["__fw_x0"]) & (x <= p["__fw_x1"]) & _inside(p["__fw_pts"], y, x)
+
+    found = near.withColumn("__fw_f", F.get(F.filter("__fw_s", hit), F.lit(0)))
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("__fw_f")[a].alias(o) for a, o in outs])
 
 
 def _utm(zone_code: int) -> tuple[float, float]:

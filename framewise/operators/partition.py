@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewise.plans.scale import free_name
+from framewise.plans.scale import cut, free_name, join_small, store
 
 #: Hashes of one bucket that the driver looks at once the others are counted out.
 BUCKET = 100_000
@@ -25,15 +27,11 @@ def with_position(df: DataFrame, name: str) -> DataFrame:
     """``df`` with each row's place (from 0) in partition order: a count per partition, then its offset plus the place inside."""
     mid, part = free_name("__fw_mid", df.columns), free_name("__fw_pid", df.columns)
     marked = df.withColumn(mid, F.monotonically_increasing_id()).withColumn(part, F.shiftright(mid, 33))
-    counts = sorted((r[part], r["n"]) for r in marked.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, upto = {}, 0
-    for p, n in counts:
-        offsets[p] = upto
-        upto += n
-    if not offsets:
-        return marked.withColumn(name, F.lit(0).cast("long")).drop(mid, part)
-    table = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])
-    return marked.withColumn(name, (F.element_at(table, F.col(part)) + F.col(mid).bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop(mid, part)
+    counts = marked.groupBy(part).agg(F.count(F.lit(1)).alias("n"))  # one row a partition
+    start = free_name("__fw_start", df.columns)
+    offsets = cut(counts.select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias(start)))
+    placed = join_small(marked, offsets, [part])
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(start) + F.col(mid).bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias(name))
 
 
 def zip_columns(left: DataFrame, right: DataFrame, suffixes: Sequence[str] = ("_l", "_r")) -> DataFrame:
@@ -53,7 +51,7 @@ def _row_hash(df: DataFrame, seed: int) -> Column:
 def _cutoff(df: DataFrame, n: int, seed: int) -> tuple[int, int]:
     """(hash, k): rows under ``hash`` are fewer than or as many as ``n``; ``k`` of those with that very hash are missing."""
     lo, bits, left = 0, 60, n
-    h = df.select(_row_hash(df, seed).alias("h"))
+    h = store(df.select(_row_hash(df, seed).alias("h")))  # the rounds read eight bytes a row, not the rows
     while True:
         inside = h.where((F.col("h") >= lo) & (F.col("h") < lo + (1 << bits)))
         step = min(12, bits)
@@ -110,15 +108,13 @@ def sample_exact(df: DataFrame, value: float | int | None, seed: int) -> DataFra
 def repartition_rows(df: DataFrame, sizes: Sequence[int]) -> DataFrame:
     """Contiguous partitions of the given sizes, in order; rows beyond their sum go to the last."""
     place = free_name("__fw_place", df.columns)
-    # The ends of the partitions by position
-    bounds, total = [], 0
-    for s in sizes:
-        total += s
-        bounds.append(total)
-    target = F.lit(len(sizes) - 1)
-    for k in range(len(sizes) - 2, -1, -1):
-        target = F.when(F.col(place) < bounds[k], F.lit(k)).otherwise(target)
-    return with_position(df, place).repartitionById(len(sizes), target.cast("int")).sortWithinPartitions(place).drop(place)
+    ends = np.cumsum(np.array(sizes, np.int64))
+
+    @F.pandas_udf("int")
+    def target(places: pd.Series) -> pd.Series:
+        return pd.Series(np.minimum(np.searchsorted(ends, places.to_numpy(), "right"), len(ends) - 1).astype("int32"))
+
+    return with_position(df, place).repartitionById(len(sizes), target(F.col(place))).sortWithinPartitions(place).drop(place)
 
 
 def balanced_sizes(total: int, parts: int) -> list[int]:

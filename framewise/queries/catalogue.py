@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
+import struct
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewise.columns import col, udf, vector_udf
@@ -19,7 +20,7 @@ from framewise.ml.supervised import SVM, GaussianNB, GDRegressor, KNearestNeighb
 from framewise.ml.text import CountVectorizer, NGram, RegexTokenizer, RemoveStopWords, TfidfVectorizer, Tokenizer
 from framewise.operators.graph import PageRank
 from framewise.operators.stats import exact_freq_items
-from framewise.plans.scale import cut, table
+from framewise.plans.scale import cut, shared_folder, table
 from framewise.session import Context
 from framewise.types import DataType
 
@@ -108,13 +109,8 @@ def map_datetime_parts(t, spark):
     return f.select(["event_id", "y", "mo", "d", "h", "mi", "s", "dt", "tm", "doy", "w", "dow"])
 
 
-@query("SELECT tap_id, CAST(try_strptime(DATANASCIMENTO, '%d/%m/%y') AS DATE) - CASE WHEN year(try_strptime(DATANASCIMENTO, '%d/%m/%y')) < 2000 THEN INTERVAL 0 DAY ELSE INTERVAL 0 DAY END AS born FROM ticketing WHERE regexp_full_match(DATANASCIMENTO, '[0-9]{2}/[0-9]{2}/[01][0-9]')")
-def map_to_datetime(t, spark):
-    return Frame(t("ticketing").df.where(F.col("DATANASCIMENTO").rlike("^[0-9]{2}/[0-9]{2}/[01][0-9]$"))).map(col("DATANASCIMENTO").to_datetime("dd/MM/yy"), "born").select(["tap_id", "born"]).map(F.col("born").cast("timestamp_ntz"), "born")
-
-
 @query("SELECT tap_id, make_date(CASE WHEN yy <= 24 THEN 2000 ELSE 1900 END + yy, mm, dd)::TIMESTAMP AS born FROM (SELECT tap_id, right(s, 2)::BIGINT AS yy, substr(s, 4, 2)::BIGINT AS mm, left(s, 2)::BIGINT AS dd FROM (SELECT tap_id, CASE WHEN regexp_full_match(DATANASCIMENTO, '[0-9]{2}/[0-9]{2}/[0-9]{2}') THEN DATANASCIMENTO END AS s FROM ticketing))")
-def map_to_datetime_all(t, spark):
+def map_to_datetime(t, spark):
     """All dates of birth, their two-digit years within 1925 to 2024."""
     return t("ticketing").map(col("DATANASCIMENTO").to_datetime("dd/MM/yy", last_year=2024), "born").select(["tap_id", "born"]).map(F.col("born").cast("timestamp_ntz"), "born")
 
@@ -192,9 +188,9 @@ def join_inner(t, spark):
     return t("orders").join(t("customer"), "o_custkey", "c_custkey").select(["o_orderkey", "o_custkey", "c_name", "c_mktsegment"])
 
 
-@query("SELECT s_suppkey, s_name, c_custkey FROM (SELECT *, nullif(s_nationkey, 3) AS k FROM supplier) s LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 50 = 0) c ON s.k = c.c_nationkey WHERE s.k IS NOT NULL")
+@query("SELECT o_orderkey, o_custkey, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
 def join_left(t, spark):
-    return t("supplier").map(F.expr("nullif(s_nationkey, 3)"), "k").join(t("customer").filter("c_custkey % 50 == 0"), "k", "c_nationkey", mode="left").select(["s_suppkey", "s_name", "c_custkey"])
+    return t("orders").join(t("customer").filter("c_acctbal > 0"), "o_custkey", "c_custkey", mode="left").select(["o_orderkey", "o_custkey", "c_name"])
 
 
 @query("SELECT r.c_nationkey AS k, n.n_name, r.c_custkey FROM (SELECT * FROM nation WHERE n_nationkey < 10) n RIGHT JOIN customer r ON n.n_nationkey = r.c_nationkey")
@@ -305,24 +301,41 @@ def split_counts(t, spark):
     return a.df.agg(F.count(F.lit(1)).alias("a")).join(b.df.agg(F.count(F.lit(1)).alias("b"))).join(both)
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders")
+def _placed(f: Frame) -> DataFrame:
+    """The rows with the partition that each is in."""
+    return f.df.withColumn("part", F.spark_partition_id())
+
+
+@query("SELECT 6::BIGINT AS parts, count(*) AS n, count(DISTINCT o_custkey) AS keys, 0::BIGINT AS split_keys FROM orders")
 def hash_partition(t, spark):
-    return t("orders").select(["o_orderkey", "o_custkey"]).hash_partition("o_custkey", 6)
+    """Rows in all six partitions, and no key in two."""
+    by_key = _placed(t("orders").select(["o_orderkey", "o_custkey"]).hash_partition("o_custkey", 6)).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.collect_set("part").alias("parts"))
+    return by_key.agg(F.size(F.array_distinct(F.flatten(F.collect_set("parts")))).cast("long").alias("parts"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("keys"), F.count(F.when(F.size("parts") > 1, 1)).alias("split_keys"))
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders")
+@query("SELECT 6::BIGINT AS parts, count(*) AS n, 0::BIGINT AS overlapping FROM orders")
 def range_partition(t, spark):
-    return t("orders").select(["o_orderkey", "o_totalprice"]).range_partition("o_totalprice", False, 6)
+    """Rows in all six partitions, each with lower totals than the one before."""
+    ends = _placed(t("orders").select(["o_orderkey", "o_totalprice"]).range_partition("o_totalprice", False, 6)).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+    before = F.lag("low").over(Window.orderBy("part"))  # six rows
+    return ends.withColumn("before", before).agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.count(F.when(F.col("high") > F.col("before"), 1)).alias("overlapping"))
 
 
-@query("SELECT c_custkey, c_name FROM customer")
+@query("WITH c AS (SELECT count(*) AS n FROM customer), s(part, lo, hi) AS (VALUES (0, 0, 1000), (1, 1000, 1010), (2, 1010, 9000000000000)) SELECT part::INT AS part, greatest(least(n, hi) - lo, 0)::BIGINT AS n FROM c, s WHERE n > lo")
 def repartition(t, spark):
-    return t("customer").select(["c_custkey", "c_name"]).repartition(7)
+    """Sizes of partitions as asked for; the last takes the rest."""
+    return _placed(t("customer").select("c_custkey").repartition(distribution=[1000, 10, 300])).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
 
+@query("SELECT k::INT AS part, (n // 7 + (k < n % 7)::INT)::BIGINT AS n FROM (SELECT count(*) AS n FROM customer), range(7) r(k)")
+def repartition_equal(t, spark):
+    return _placed(t("customer").select("c_custkey").repartition(7)).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
-@query("SELECT c_custkey FROM customer")
+
+@query("SELECT k::INT AS part, (n // 3 + (k < n % 3)::INT)::BIGINT AS n FROM (SELECT count(*) AS n FROM orders), range(3) r(k)")
 def balancer(t, spark):
-    return t("customer").select("c_custkey").repartition(distribution=[1000, 10, 300]).balancer()
+    """Lopsided partitions evened out."""
+    return _placed(t("orders").select("o_orderkey").repartition(distribution=[1000, 10, 300]).balancer()).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Sets
@@ -355,9 +368,9 @@ def intersect_all(t, spark):
     return a.intersect_all(b)
 
 
-@query("SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 20")
+@query("SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
 def subtract(t, spark):
-    return t("customer").select_expression("k = c_nationkey").subtract(t("supplier").filter("s_suppkey < 20").select_expression("k = s_nationkey"))
+    return t("orders").select_expression("k = o_custkey").subtract(t("customer").filter("c_acctbal > 0").select_expression("k = c_custkey"))
 
 
 @query("SELECT user_id FROM events WHERE event_type = 'view' EXCEPT ALL SELECT user_id FROM events WHERE event_type = 'click'")
@@ -454,11 +467,13 @@ def string_index(t, spark):
     return StringIndexer().fit_transform(t("orders").select(["o_orderkey", "o_orderpriority"]), "o_orderpriority", output_col="k").select(["o_orderkey", "k"])
 
 
-@query("SELECT p_partkey, p_type AS back FROM part")
+@query("WITH v AS (SELECT DISTINCT p_type FROM part), k AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS i, count(*) OVER () AS n FROM v) SELECT p_partkey, b.p_type AS back FROM part JOIN k a USING (p_type) JOIN k b ON b.i = (a.i + 1) % a.n")
 def index_to_string(t, spark):
+    """The type that follows a part's own in the index."""
     f = t("part").select(["p_partkey", "p_type"])
     model = StringIndexer().fit(f, "p_type")
-    return IndexToString(model).transform(model.transform(f, output_col="k"), "k", "back").select(["p_partkey", "back"])
+    placed = model.transform(f, output_col="k").map(F.pmod(F.col("k") + 1, F.lit(len(model.mapping))), "k")
+    return IndexToString(model).transform(placed, "k", "back").select(["p_partkey", "back"])
 
 
 @query("SELECT p_partkey, [p_retailprice] AS cut FROM part")
@@ -512,21 +527,27 @@ def count_vec_vocabulary(t, spark):
     return spark.createDataFrame([(w, d, i) for i, (w, d) in enumerate(zip(m.vocabulary, m.doc_freq))], "term string, df long, place long")
 
 
-@query(f"WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), x AS (SELECT doc_id, unnest(w) AS term FROM t), v AS (SELECT term FROM x GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 3), o AS (SELECT term, row_number() OVER (ORDER BY term) AS r FROM v), c AS (SELECT doc_id, r FROM x JOIN o USING (term)) SELECT doc_id, " + ", ".join(f"coalesce(sum((r = {i + 1})::INT), 0)::INT AS n{i}" for i in range(3)) + " FROM documents LEFT JOIN c USING (doc_id) GROUP BY 1")
+_TERMS = f"t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), x AS (SELECT doc_id, unnest(w) AS term FROM t)"
+
+
+@query(f"WITH {_TERMS}, v AS (SELECT term FROM x GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 40), o AS (SELECT term, row_number() OVER (ORDER BY term) AS r FROM v), c AS (SELECT doc_id, r FROM x JOIN o USING (term)) SELECT doc_id, " + ", ".join(f"coalesce(sum((r = {i + 1})::INT), 0)::INT AS n{i}" for i in range(40)) + " FROM documents LEFT JOIN c USING (doc_id) GROUP BY 1")
 def count_vec(t, spark):
     f = Tokenizer().transform(t("documents").select(["doc_id", "text"]), "text", "w")
-    return CountVectorizer(vocab_size=3, binary=False).fit_transform(f, "w", output_col="n", remove=True).drop("text")
+    return CountVectorizer(vocab_size=40, binary=False).fit_transform(f, "w", output_col="n", remove=True).drop("text")
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), x AS (SELECT doc_id, unnest(w) AS term FROM t), n AS (SELECT count(*) AS n FROM documents),
-    v AS (SELECT term, count(DISTINCT doc_id) AS df FROM x GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 2), o AS (SELECT term, ln((n + 1) / (df + 1)) + 1 AS idf, row_number() OVER (ORDER BY term) AS r FROM v, n),
-    c AS (SELECT doc_id, sum(CASE WHEN r = 1 THEN idf ELSE 0 END) AS a, sum(CASE WHEN r = 2 THEN idf ELSE 0 END) AS b FROM x JOIN o USING (term) GROUP BY 1)
-    SELECT doc_id, round(coalesce(a / sqrt(a * a + b * b), 0), 6) AS n0, round(coalesce(b / sqrt(a * a + b * b), 0), 6) AS n1 FROM documents LEFT JOIN c USING (doc_id)"""
+    f"WITH {_TERMS}, n AS (SELECT count(*) AS n FROM documents), v AS (SELECT term, count(DISTINCT doc_id) AS df FROM x GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 12), o AS (SELECT term, ln((n + 1) / (df + 1)) + 1 AS idf, row_number() OVER (ORDER BY term) AS r FROM v, n), c AS (SELECT doc_id, "
+    + ", ".join(f"sum(CASE WHEN r = {i + 1} THEN idf ELSE 0 END) AS a{i}" for i in range(12))
+    + " FROM x JOIN o USING (term) GROUP BY 1), s AS (SELECT *, sqrt("
+    + " + ".join(f"a{i} * a{i}" for i in range(12))
+    + ") AS z FROM c) SELECT doc_id, "
+    + ", ".join(f"round(coalesce(a{i} / z, 0), 6) AS n{i}" for i in range(12))
+    + " FROM documents LEFT JOIN s USING (doc_id)"
 )
 def tfidf(t, spark):
     f = Tokenizer().transform(t("documents").select(["doc_id", "text"]), "text", "w")
-    return rounded(TfidfVectorizer(vocab_size=2).fit_transform(f, "w", output_col="n", remove=True).drop("text"))
+    return rounded(TfidfVectorizer(vocab_size=12).fit_transform(f, "w", output_col="n", remove=True).drop("text"))
 
 
 # Models
@@ -538,67 +559,59 @@ def ols(t, spark):
     return spark.createDataFrame([(round(m.b1, 4), round(m.b0, 4))], "b1 double, b0 double")
 
 
-def _split_labels(t):
-    """Embeddings as four features with their label."""
-    return Frame(t("embeddings").df.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)]))
+_ALL = [f"e{i}" for i in range(64)]
 
 
-_E = ["e0", "e1", "e2", "e3"]
+def _vectors(t):
+    """Embeddings as one feature a dimension with their label."""
+    # The cut leaves plain columns: over 64 aliases of array cells Spark's optimizer infers constraints without end.
+    return Frame(cut(t("embeddings").df.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_ALL)])))
 
 
 @query(
-    """WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE e0, embedding[2]::DOUBLE e1, embedding[3]::DOUBLE e2, embedding[4]::DOUBLE e3 FROM embeddings),
-    m AS (SELECT label AS l, """
-    + ", ".join(f"avg(e{i}) m{i}, var_pop(e{i}) v{i}" for i in range(4))
-    + """ FROM e GROUP BY 1), x AS (SELECT max(greatest(v0, v1, v2, v3)) * 1e-9 AS eps FROM m),
-    s AS (SELECT vec_id, l, """
-    + " + ".join(f"-0.5 * ln(2 * pi() * (v{i} + eps)) - (e{i} - m{i}) ** 2 / (2 * (v{i} + eps))" for i in range(4))
-    + """ AS score FROM e, m, x) SELECT vec_id, arg_max(l, score) AS p FROM s GROUP BY 1"""
+    """WITH e AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label AS l, i, avg(x) AS m, var_pop(x) AS v FROM e GROUP BY ALL), z AS (SELECT max(v) * 1e-9 AS eps FROM m),
+    s AS (SELECT vec_id, l, sum(-0.5 * ln(2 * pi() * (v + eps)) - (x - m) ** 2 / (2 * (v + eps))) AS score FROM e JOIN m USING (i), z GROUP BY ALL) SELECT vec_id, arg_max(l, score) AS p FROM s GROUP BY 1"""
 )
 def gaussian_nb(t, spark):
-    return GaussianNB().fit_transform(_split_labels(t), _E, "label", pred_col="p").select(["vec_id", "p"])
+    return GaussianNB().fit_transform(_vectors(t), _ALL, "label", pred_col="p").select(["vec_id", "p"])
 
 
-@query(
-    """WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE e0, embedding[2]::DOUBLE e1, embedding[3]::DOUBLE e2, embedding[4]::DOUBLE e3 FROM embeddings)
-    SELECT a.vec_id, arg_min(b.label, (a.e0 - b.e0) ** 2 + (a.e1 - b.e1) ** 2 + (a.e2 - b.e2) ** 2 + (a.e3 - b.e3) ** 2) AS p FROM e a, e b WHERE b.vec_id % 3 = 0 GROUP BY 1"""
-)
+@query("SELECT a.vec_id, arg_min(b.label, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS p FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY 1")
 def knn(t, spark):
-    f = _split_labels(t)
-    return KNearestNeighbors(1).fit(f.filter("vec_id % 3 == 0"), _E, "label").transform(f, pred_col="p").select(["vec_id", "p"])
-
-
-_ALL = [f"e{i}" for i in range(64)]
+    """All labelled rows train; each row itself is left out of its neighbours."""
+    f = _vectors(t)
+    return KNearestNeighbors(1).fit(f, _ALL, "label", id_col="vec_id").transform(f, pred_col="p").select(["vec_id", "p"])
 
 
-def _all_dimensions(t):
-    """Embeddings as one feature a dimension with their label."""
-    # The cut leaves plain columns: over 64 aliases of array cells Spark's optimizer infers constraints without end.
-    return Frame(cut(t("embeddings").df.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_ALL)])))
+_SCALED = "o AS (SELECT o_orderkey, o_totalprice > 250000 AS y, o_totalprice::DOUBLE AS p, o_custkey::DOUBLE AS c FROM orders), d AS (SELECT o_orderkey, y, (p - avg(p) OVER ()) / stddev_pop(p) OVER () AS a, (c - avg(c) OVER ()) / stddev_pop(c) OVER () AS b FROM o)"
 
 
-@query()
-def gaussian_nb_all(t, spark):
-    return GaussianNB().fit_transform(_all_dimensions(t), _ALL, "label", pred_col="p").select(["vec_id", "p"])
+def _logistic_sql(steps: int = 20, alpha: float = 0.5, penalty: float = 0.1) -> str:
+    """Every gradient step as a table of its own."""
+    parts, u = [f"WITH {_SCALED}", "t0 AS (SELECT 0::DOUBLE AS t, 0::DOUBLE AS u, 0::DOUBLE AS v)"], "1 / (1 + exp(-(t + u * a + v * b)))"
+    for k in range(steps):
+        rate = alpha / (1 + k / steps) ** 0.5
+        parts.append(f"t{k + 1} AS (SELECT any_value(t) + {rate} * avg(y::INT - {u}) AS t, any_value(u) + {rate} * (avg((y::INT - {u}) * a) - {penalty} * any_value(u) / count(*)) AS u, any_value(v) + {rate} * (avg((y::INT - {u}) * b) - {penalty} * any_value(v) / count(*)) AS v FROM d, t{k})")
+    return ", ".join(parts) + f" SELECT o_orderkey, y::INT AS y, round_even({u}, 0)::DOUBLE AS \"prediction_LogReg\" FROM d, t{steps}"
 
 
-@query()
-def knn_all(t, spark):
-    """All labelled rows train; each row itself is left out of its neighbours."""
-    f = _all_dimensions(t)
-    return KNearestNeighbors(1).fit(f, _ALL, "label", id_col="vec_id").transform(f, pred_col="p").select(["vec_id", "p"])
-
-
-@query()
+@query(_logistic_sql())
 def logreg(t, spark):
     f = StandardScaler().fit_transform(Frame(t("orders").df.select("o_orderkey", "o_totalprice", "o_custkey", (F.col("o_totalprice") > 250000).cast("int").alias("y"))), ["o_totalprice", "o_custkey"])
-    return LogisticRegression(alpha=0.5, max_iter=20).fit_transform(f, ["o_totalprice", "o_custkey"], "y").select(["o_orderkey", "y", "prediction_LogReg"])
+    return LogisticRegression(alpha=0.5, max_iter=20, threshold=0.0).fit_transform(f, ["o_totalprice", "o_custkey"], "y").select(["o_orderkey", "y", "prediction_LogReg"])
 
 
-@query()
+def _svm_sql(steps: int = 20, rate: float = 0.5, weight: float = 0.1) -> str:
+    parts, m = [f"WITH {_SCALED}, s AS (SELECT o_orderkey, a, b, CASE WHEN y THEN 1 ELSE -1 END AS y FROM d)", "t0 AS (SELECT 0::DOUBLE AS u, 0::DOUBLE AS v)"], "y * (u * a + v * b) < 1"
+    for k in range(steps):
+        parts.append(f"t{k + 1} AS (SELECT any_value(u) - {rate} * (avg(CASE WHEN {m} THEN -y * a ELSE 0 END) + 2 * {weight} * any_value(u)) AS u, any_value(v) - {rate} * (avg(CASE WHEN {m} THEN -y * b ELSE 0 END) + 2 * {weight} * any_value(v)) AS v FROM s, t{k})")
+    return ", ".join(parts) + f" SELECT o_orderkey, y::INT AS y, CASE WHEN u * a + v * b >= 0 THEN 1.0::DOUBLE ELSE -1.0 END AS \"prediction_SVM\" FROM s, t{steps}"
+
+
+@query(_svm_sql())
 def svm(t, spark):
     f = StandardScaler().fit_transform(Frame(t("orders").df.select("o_orderkey", "o_totalprice", "o_custkey", F.when(F.col("o_totalprice") > 250000, 1).otherwise(-1).alias("y"))), ["o_totalprice", "o_custkey"])
-    return SVM(coef_lr=0.5, max_iter=20).fit_transform(f, ["o_totalprice", "o_custkey"], "y").select(["o_orderkey", "y", "prediction_SVM"])
+    return SVM(coef_lr=0.5, max_iter=20, force=True).fit_transform(f, ["o_totalprice", "o_custkey"], "y").select(["o_orderkey", "y", "prediction_SVM"])
 
 
 @query()
@@ -623,8 +636,14 @@ def kmeans(t, spark):
     return Kmeans(5, max_iter=20).fit_transform(t("customer").select(["c_custkey", "c_acctbal"]), ["c_acctbal"])
 
 
-@query()
+@query(
+    """WITH p AS (SELECT c_custkey, c_acctbal AS x, count(*) OVER (ORDER BY c_acctbal RANGE BETWEEN 3.0 PRECEDING AND 3.0 FOLLOWING) >= 4 AS core FROM customer),
+    g AS (SELECT x, CASE WHEN x - lag(x) OVER (ORDER BY x) <= 3.0 THEN 0 ELSE 1 END AS starts FROM (SELECT DISTINCT x FROM p WHERE core)), k AS (SELECT x, sum(starts) OVER (ORDER BY x) - 1 AS k FROM g)
+    SELECT c_custkey, x AS c_acctbal, coalesce((SELECT min(k) FROM k WHERE k.x = p.x), -1)::INT AS cluster FROM p WHERE core
+    UNION ALL SELECT c_custkey, x, coalesce((SELECT min(k) FROM k WHERE k.x BETWEEN p.x - 3.0 AND p.x + 3.0), -1)::INT FROM p WHERE NOT core"""
+)
 def dbscan(t, spark):
+    """In one dimension, where SQL can say it: customers by balance; clusters are numbered from the lowest."""
     return DBSCAN(["c_acctbal"], "cluster", eps=3.0, min_pts=4).fit_predict(t("customer").select(["c_custkey", "c_acctbal"]))
 
 
@@ -677,46 +696,52 @@ def metrics_binary(t, spark):
     return rounded(Frame(spark.createDataFrame([(float(m.accuracy), float(m.precision), float(m.recall), float(m.f1))], "accuracy double, precision double, recall double, f1 double")))
 
 
-@query(
-    """WITH c AS (SELECT o_orderstatus AS y, CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus ELSE 'O' END AS p FROM orders), l AS (SELECT DISTINCT y AS v FROM c)
-    SELECT v AS label, round(sum((y = v AND p = v)::INT) / sum((p = v)::INT), 6) AS "precision", round(sum((y = v AND p = v)::INT) / sum((y = v)::INT), 6) AS recall FROM c, l GROUP BY 1"""
-)
+_MULTI = """WITH c AS (SELECT o_orderstatus AS y, CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus ELSE 'O' END AS p FROM orders), l AS (SELECT DISTINCT y AS v FROM c),
+    m AS (SELECT v AS label, sum((y = v AND p = v)::INT) / sum((p = v)::INT) AS "precision", sum((y = v AND p = v)::INT) / sum((y = v)::INT) AS recall FROM c, l GROUP BY 1)"""
+
+
+@query(_MULTI + ' SELECT label, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(2 * "precision" * recall / ("precision" + recall), 6) AS f1 FROM m')
 def metrics_multi(t, spark):
     m = MultilabelMetrics("s", "r", _predicted(t)).precision_recall
-    return rounded(Frame(spark.createDataFrame([(r[0], float(r[1]), float(r[2])) for r in m.itertuples(index=False)], "label string, precision double, recall double")))
+    return rounded(Frame(spark.createDataFrame([(r[0], *map(float, r[1:])) for r in m.itertuples(index=False)], "label string, precision double, recall double, f1 double")))
+
+
+@query(_MULTI + ', a AS (SELECT avg("precision") AS p, avg(recall) AS r FROM m) SELECT round((SELECT avg((y = p)::INT) FROM c), 6) AS accuracy, round(p, 6) AS "precision", round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM a')
+def metrics_multi_averages(t, spark):
+    m = MultilabelMetrics("s", "r", _predicted(t))
+    return rounded(Frame(spark.createDataFrame([tuple(map(float, (m.accuracy, m.precision, m.recall, m.f1)))], "accuracy double, precision double, recall double, f1 double")))
 
 
 @query(
-    """WITH c AS (SELECT o_totalprice AS y, o_totalprice + o_custkey % 10 AS p FROM orders), a AS (SELECT count(*) n, avg(y) m FROM c)
-    SELECT round(1 - sum((y - p) ** 2) / sum((y - m) ** 2), 6) AS r2, round(sum((y - p) ** 2) / (any_value(n) - 2), 4) AS mse, round(sum(abs(y - p)) / (any_value(n) - 2), 4) AS mae FROM c, a"""
+    """WITH c AS (SELECT o_totalprice AS y, o_totalprice + o_custkey % 10 AS p FROM orders), a AS (SELECT count(*) n, avg(y) m FROM c), s AS (SELECT sum((y - p) ** 2) AS sse, sum(abs(y - p)) AS sae, sum((y - m) ** 2) AS sst, any_value(n) - 2 AS k FROM c, a)
+    SELECT round(1 - sse / sst, 6) AS r2, round(sse / k, 4) AS mse, round(sqrt(sse / k), 4) AS rmse, round(sae / k, 4) AS mae, round((sst - sse) / 1e12, 4) AS msr FROM s"""
 )
 def metrics_regression(t, spark):
     m = RegressionMetrics(["x"], "v", "w", _predicted(t))
-    return spark.createDataFrame([(round(m.r2, 6), round(m.mse, 4), round(m.mae, 4))], "r2 double, mse double, mae double")
+    return spark.createDataFrame([(round(m.r2, 6), round(m.mse, 4), round(m.rmse, 4), round(m.mae, 4), round(m.msr / 1e12, 4))], "r2 double, mse double, rmse double, mae double, msr double")
 
 
-_RANKS = "WITH e AS (SELECT o_custkey % 97 AS s, o_orderkey % 89 AS d FROM orders), g AS (SELECT s, count(*) AS o FROM e GROUP BY 1), v AS (SELECT s AS v FROM e UNION SELECT d FROM e), r0 AS (SELECT v, 1.0::DOUBLE AS r FROM v)" + "".join(
+_RANKS = "WITH e AS (SELECT l_partkey AS s, l_suppkey AS d FROM lineitem), g AS (SELECT s, count(*) AS o FROM e GROUP BY 1), v AS (SELECT s AS v FROM e UNION SELECT d FROM e), r0 AS (SELECT v, 1.0::DOUBLE AS r FROM v)" + "".join(
     f", r{k} AS (SELECT v.v, CASE WHEN q.t IS NULL THEN 1.0 ELSE 0.15 + 0.85 * q.t END AS r FROM v LEFT JOIN (SELECT d, sum(r.r / g.o) AS t FROM e JOIN r{k - 1} r ON e.s = r.v JOIN g ON g.s = e.s GROUP BY 1) q ON v.v = q.d)" for k in (1, 2, 3)
 )
 
 
 @query(_RANKS + ' SELECT v AS "Vertex", round(r, 6) AS "Rank" FROM r3')
 def pagerank_k(t, spark):
-    edges = t("orders").select_expression("s = o_custkey % 97", "d = o_orderkey % 89")
-    return rounded(PageRank(0.85, 3).transform(edges, "s", "d"))
+    return rounded(PageRank(0.85, 3).transform(t("lineitem"), "l_partkey", "l_suppkey"))
 
 
 # Geography
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 100 >= 10 AND c_custkey % 100 < 90 THEN ((c_custkey % 100) // 20)::BIGINT * 10 + (c_nationkey // 10) END AS area FROM (SELECT c_custkey, c_nationkey FROM customer) WHERE c_custkey % 20 <> 0 AND c_nationkey % 10 <> 0")
+@query("SELECT c_custkey, CASE WHEN c_acctbal >= 0 AND c_acctbal < 10000 AND c_custkey < 1500 THEN (floor(c_acctbal / 2000) * 10 + c_custkey // 500)::BIGINT END AS area FROM customer")
 def geo_within(t, spark):
-    """Customers as points in a grid of rectangles."""
-    points = Frame(t("customer").df.where("c_custkey % 20 <> 0 AND c_nationkey % 10 <> 0").select("c_custkey", (F.col("c_custkey") % 100).cast("double").alias("lat"), F.col("c_nationkey").cast("double").alias("lon")))
+    """All customers as points over a grid of rectangles that share borders."""
+    points = Frame(t("customer").df.select("c_custkey", F.col("c_acctbal").cast("double").alias("lat"), F.col("c_custkey").cast("double").alias("lon")))
     rows = []
     for i in range(5):
         for j in range(3):
-            y0, y1, x0, x1 = max(20.0 * i, 9.5), min(20.0 * i + 20, 89.5), 10.0 * j, 10.0 * j + 10
+            y0, y1, x0, x1 = 2000.0 * i, 2000.0 * i + 2000, 500.0 * j, 500.0 * j + 500
             rows.append((i * 10 + j, [[y0, x0], [y0, x1], [y1, x1], [y1, x0]]))
     shapes = Frame(spark.createDataFrame(rows, "area long, points array<array<double>>"))
     return points.geo_within(shapes, "lat", "lon", attributes=["area"]).select(["c_custkey", "area"])
@@ -740,8 +765,7 @@ def crst_utm_round_trip(t, spark):
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framewise-")
-    return f"{base.rstrip('/')}/io-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/io-{uuid.uuid4().hex}"
 
 
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
@@ -765,6 +789,111 @@ def io_parquet(t, spark):
     return Context(spark).read.parquet(d, columns=["o_orderkey", "o_orderdate"])
 
 
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def io_txt(t, spark):
+    d = _folder(spark)
+    t("supplier").save.csv(d, columns=["s_suppkey", "s_name", "s_acctbal"], sep="|", header=False)
+    f = Context(spark).read.txt(d, sep="|", header=False, prefix="c", schema={"c0": DataType.INT, "c2": DataType.DECIMAL})
+    return f.rename(["c0", "c1", "c2"], ["s_suppkey", "s_name", "s_acctbal"])
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def io_pickle(t, spark):
+    d = _folder(spark).removeprefix("file://").removeprefix("file:")
+    t("customer").select(["c_custkey", "c_name", "c_acctbal"]).repartition(3).save.pickle(d)
+    return Context(spark).read.pickle(d)
+
+
+@query("SELECT 'overwrite' AS mode, (SELECT count(*) FROM region) AS n UNION ALL SELECT 'ignore', (SELECT count(*) FROM region) UNION ALL SELECT 'error', -1")
+def io_modes(t, spark):
+    """What lies in a folder after each mode has written regions over, or nations beside, what was there; -1 is a refusal."""
+    d, rows = _folder(spark), []
+    read = lambda: Context(spark).read.parquet(d).count_rows()
+    t("nation").save.parquet(d)
+    t("region").save.parquet(d, mode="overwrite")
+    rows.append(("overwrite", read()))
+    t("nation").save.parquet(d, mode="ignore")
+    rows.append(("ignore", read()))
+    try:
+        t("nation").save.parquet(d, mode="error")
+        rows.append(("error", read()))
+    except Exception:  # Spark's own: the path exists
+        rows.append(("error", -1))
+    return spark.createDataFrame(rows, "mode string, n long")
+
+
+def _shapefile(folder: str, records: list[tuple[str, list[tuple[float, float]]]]) -> None:
+    """Polygons (x, y) with a name each, as ``a.shp`` and ``a.dbf``."""
+    body = b""
+    for k, (_, pts) in enumerate(records):
+        content = struct.pack("<i4d2ii", 5, 0, 0, 9, 9, 1, len(pts), 0) + b"".join(struct.pack("<2d", *p) for p in pts)
+        body += struct.pack(">2i", k + 1, len(content) // 2) + content
+    os.makedirs(folder)
+    with open(f"{folder}/a.shp", "wb") as f:
+        f.write(b"\0" * 100 + body)
+    field = b"name".ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([30]) + b"\0" * 15
+    with open(f"{folder}/a.dbf", "wb") as f:
+        f.write(b"\x03" + b"\0" * 3 + struct.pack("<IHH", len(records), 32 + 32 + 1, 1 + 30) + b"\0" * 20 + field + b"\r" + b"".join(b" " + n.encode().ljust(30) for n, _ in records))
+
+
+@query("SELECT n_name AS name, 4::INT AS corners, n_regionkey::DOUBLE AS lat, n_nationkey::DOUBLE AS lon FROM nation")
+def io_shapefile(t, spark):
+    """Nations (a fixed short list) as triangles at (region, nation), written and read."""
+    d = _folder(spark).removeprefix("file://").removeprefix("file:")
+    _shapefile(d, [(r["n_name"], [(r["n_nationkey"], r["n_regionkey"]), (r["n_nationkey"] + 1, r["n_regionkey"]), (r["n_nationkey"], r["n_regionkey"] + 1), (r["n_nationkey"], r["n_regionkey"])]) for r in t("nation").df.collect()])
+    f = Context(spark).read.shapefile(f"{d}/a.shp", f"{d}/a.dbf")
+    return f.df.select("name", F.size("points").alias("corners"), F.col("points")[0][0].cast("double").alias("lat"), F.col("points")[0][1].cast("double").alias("lon"))
+
+
+@query("SELECT r_regionkey, r_name, 2::INT AS parts FROM region")
+def parallelize(t, spark):
+    """A pandas frame in two partitions (regions, a fixed short list)."""
+    f = Context(spark).parallelize(t("region").select(["r_regionkey", "r_name"]).to_df(), 2)
+    return f.map(F.lit(f.num_of_partitions()), "parts")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def import_fragments(t, spark):
+    """Partitions handed out as pandas frames and taken in again."""
+    parts = t("nation").select(["n_nationkey", "n_name"]).repartition(3).export_partitions()
+    return Context(spark).import_data(parts, {"n_nationkey": DataType.INT})
+
+
+@query("SELECT count(*) AS n, 4::BIGINT AS parts, count(*) AS by_part, 2::BIGINT AS n_columns, 'c_custkey,c_name' AS names, count(*) AS rows_out, 10::BIGINT AS shown, 'bigint' AS kind FROM customer")
+def actions(t, spark):
+    """Counts, partitions, names, kinds, rows as pandas, the cache and a look at the first rows."""
+    f = t("customer").select(["c_custkey", "c_name"]).hash_partition("c_custkey", 4).cache()
+    shown = f.take(10).show().to_df()
+    row = (f.count_rows(), f.num_of_partitions(), sum(f.count_rows(total=False)), len(f.schema()), ",".join(f.columns()), len(f.to_df(["c_custkey"])), len(shown), f.dtypes()["c_custkey"])
+    f.unpersist()
+    return spark.createDataFrame([row], "n long, parts long, by_part long, n_columns long, names string, rows_out long, shown long, kind string")
+
+
+@query("SELECT c_custkey, round((c_acctbal - m) / s, 6) AS z FROM customer, (SELECT avg(c_acctbal) m, stddev_pop(c_acctbal) s FROM customer)")
+def model_saved(t, spark):
+    """A fitted model saved, loaded by another object and applied."""
+    d, f = _folder(spark), t("customer").select(["c_custkey", "c_acctbal"])
+    StandardScaler().fit(f, "c_acctbal").save_model(d)
+    return rounded(StandardScaler().load_model(d).transform(f, "c_acctbal", output_col=["z"], remove=True))
+
+
+@query("SELECT event_id, CAST(value AS BIGINT)::VARCHAR AS whole, weekofyear(ts)::INT AS w FROM (SELECT event_id, trunc(value) AS value, ts FROM events)")
+def map_cast_week(t, spark):
+    return t("events").map(col("value").cast(DataType.INT), "whole").map(col("whole").cast(DataType.STRING), "whole").map(col("ts").week(), "w").select(["event_id", "whole", "w"])
+
+
+@query(
+    """SELECT p_partkey, round(sin(x), 6) AS a, round(cos(x), 6) AS b, round(tan(x), 6) AS c, round(exp(x / 100), 6) AS d, round(log10(x), 6) AS e, round(abs(-x), 6) AS f, floor(x / 3)::DOUBLE AS g, ceil(x / 3)::DOUBLE AS h, round(asin(x / 100), 6) AS i, round(acos(x / 100), 6) AS j, round(atan(x), 6) AS k,
+    round(sinh(x / 100), 6) AS l, round(cosh(x / 100), 6) AS m, round(tanh(x / 100), 6) AS n, round(sqrt(x), 6) AS o, round(ln(x + 1), 6) AS p, round(exp(x / 100) - 1, 6) AS q, round(atan2(x, 7), 6) AS r FROM (SELECT p_partkey, p_size::DOUBLE AS x FROM part)"""
+)
+def expr_functions(t, spark):
+    f = t("part").map(F.col("p_size").cast("double"), "odd name").select_expression("p_partkey", "x = `odd name` + 0")
+    made = f.select_expression(
+        "p_partkey", "a = sin(x)", "b = cos(x)", "c = tan(x)", "d = exp(x / 100)", "e = log10(x)", "f = abs(-x)", "g = floor(x / 3)", "h = ceil(x / 3)", "i = arcsin(x / 100)", "j = arccos(x / 100)", "k = arctan(x)", "l = sinh(x / 100)", "m = cosh(x / 100)", "n = tanh(x / 100)", "o = sqrt(x)", "p = log1p(x)", "q = expm1(x / 100)", "r = arctan2(x, 7)"
+    )
+    return rounded(Frame(made.df.withColumns({c: F.col(c).cast("double") for c in ("g", "h")})))
+
+
 # Flows
 
 
@@ -780,11 +909,12 @@ def narrow_flow(t, spark):
     SELECT Survived, count(*) FILTER (kind = 'Women') AS Women, count(*) FILTER (kind = 'Men') AS Men, count(*) FILTER (kind = 'Kids') AS Kids FROM k GROUP BY 1"""
 )
 def titanic_flow(t, spark):
+    """One scan and one aggregate for the three kinds."""
     f = t("titanic").select(["Survived", "Sex", "Age"]).dropna(["Survived", "Age"]).filter("Age >= 0 and Age <= 120 and Sex in ['male', 'female']").replace({0: "No", 1: "Yes"}, subset="Survived")
-    women = f.filter("Age >= 18 and Sex == 'female'").group_by("Survived").count("*", "Women")
-    men = f.filter("Age >= 18 and Sex == 'male'").group_by("Survived").count("*", "Men")
-    kids = f.filter("Age < 18").group_by("Survived").count("*", "Kids")
-    return women.join(men, "Survived").join(kids, "Survived")
+    kind = F.when(F.col("Age") < 18, "Kids").when(F.col("Sex") == "female", "Women").otherwise("Men")
+    for k in ("Women", "Men", "Kids"):
+        f = f.map((kind == k).cast("int"), k)
+    return f.group_by("Survived").sum("Women", "Women").sum("Men", "Men").sum("Kids", "Kids")
 
 
 @query(

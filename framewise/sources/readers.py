@@ -110,7 +110,10 @@ class Reader:
         return self._frame(_parts(df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df, num_of_parts))
 
     def pickle(self, filepath: str | Sequence[str], num_of_parts: int | str = "*"):
-        """Pickled pandas frames, one per file (or a folder of them), read by the tasks. Only for files one trusts."""
+        """Pickled pandas frames, one per file (or a folder of them), read by the tasks. Only for files one trusts.
+
+        The columns and types are those of the whole first file; the others must have them.
+        """
         import io
 
         import pandas as pd
@@ -120,7 +123,7 @@ class Reader:
         first = files.first()
         if first is None:
             raise FileNotFoundError(f"no pickle files in {paths}")
-        shape = self.spark.createDataFrame(pd.read_pickle(io.BytesIO(bytes(first[0])), compression=None).head(1000)).schema
+        shape = self.spark.createDataFrame(pd.read_pickle(io.BytesIO(bytes(first[0])), compression=None)).schema
 
         def run(batches):
             for b in batches:
