@@ -112,5 +112,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p2_percentiles, p2_checked, p3_found, p3_clusters, p8_packed, p8_report, p9_found, p9_shares, p9_mixture, p10_found, p10_repetition, p10_outliers)}
 
 
+#: Words of every text with their places, passages of eight and the first place of an equal one; words of those that
+#: stand again without touching the first are repeated.
+_REPEATED = r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\p{L}+') AS w FROM documents),
+    g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS p FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 6, 1))) AS i FROM d)),
+    f AS (SELECT doc_id, i, min(i) OVER (PARTITION BY doc_id, p) AS first FROM g),
+    r AS (SELECT doc_id, count(DISTINCT k) AS repeated FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM f WHERE first + 8 <= i) GROUP BY 1),
+    s AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(repeated, 0)::BIGINT AS repeated_words FROM d LEFT JOIN r USING (doc_id))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_checked": """
+            WITH t AS (SELECT CASE WHEN Pclass IN (1, 2, 3) THEN Pclass END AS Pclass, Fare, CASE WHEN Age >= 0 AND Age NOT IN (999, 9999, 99999) AND NOT isnan(Age) THEN Age END AS Age FROM titanic),
+            v AS (SELECT Pclass, 'Fare' AS field, Fare AS x FROM t UNION ALL SELECT Pclass, 'Age', Age FROM t)
+            SELECT Pclass, field, count(*) AS n_values, 0::BIGINT AS outside FROM v WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY ALL""",
+        "p10_repetition": _REPEATED + " SELECT doc_id, n_words, repeated_words, repeated_words / greatest(n_words, 1) AS repeated_share FROM s",
+        "p10_found": _REPEATED + " SELECT doc_id FROM s WHERE n_words > 0 AND 5 * repeated_words >= 2 * n_words",
+    }
