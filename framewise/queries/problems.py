@@ -103,18 +103,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_filled, p4_found, p5_found, p5_key_quantiles, p6_found, p6_profile, p6_counts, p6_table, p7_found, p7_records)}
 
 
+#: One field of a raw line: in quotes, with doubled quotes and tabs inside, or without any.
+_FIELD = r'(?: *"(?:[^"]|"")*" *|[^"\t]*)'
 _NUMBERS = ("PassengerId", "Survived", "Pclass", "Age", "SibSp", "Parch", "Fare")
 _UNKNOWN = "('','?','??','-','--','.','*','n/a','n.a.','n.a','na','nan','none','null','nil','unk','unknown','undefined','not known','missing','u')"
 
 
 def oracle_sql() -> dict[str, str]:
-    num = r"regexp_full_match({0}, '([0-9]+(\.[0-9]+)?)?')"
+    line = "coalesce(raw_line, '')"
+    field = lambda k: f"regexp_extract({line}, '^(?:{_FIELD}\\t){{{k}}}({_FIELD})(?:\\t|$)', 1)"
+    plain = lambda k: f"trim(CASE WHEN trim({field(k)}, ' ') LIKE '\"%' THEN replace(substr(trim({field(k)}, ' '), 2, length(trim({field(k)}, ' ')) - 2), '\"\"', '\"') ELSE {field(k)} END, ' ')"
+    number = lambda x: f"regexp_full_match({x}, '([0-9]+(\\.[0-9]+)?)?')"
     return {
         "p1_found": f"""
             SELECT rec_id, 'Age' AS field_name FROM titanic WHERE Age IS NULL OR isnan(Age) OR Age < 0 OR Age IN (999, 9999, 99999)
             UNION ALL SELECT rec_id, 'Embarked' FROM titanic WHERE Embarked IS NULL OR (lower(trim(Embarked)) IN {_UNKNOWN} AND NOT regexp_full_match(trim(Embarked), '[A-Z]{{1,3}}'))
             UNION ALL SELECT rec_id, 'Pclass' FROM titanic WHERE Pclass IS NULL OR Pclass NOT IN (1, 2, 3)
             UNION ALL SELECT rec_id, 'Sex' FROM titanic WHERE Sex IS NULL OR lower(trim(Sex)) IN {_UNKNOWN}""",
+        # Pieces: quoted ones whole, else what stands between separators; the word "and" between pieces is no value.
+        "p4_found": r"""
+            WITH c AS (SELECT rec_id, list_filter(regexp_extract_all(Cabin, '"(?:[^"]|"")*"|''(?:[^'']|'''')*''|[^\s,;/|+&]+'), lambda x: lower(x) <> 'and') AS xs FROM titanic WHERE Cabin IS NOT NULL),
+            v AS (SELECT rec_id, list_filter(list_transform(xs, lambda x: trim(CASE WHEN x LIKE '"%"' AND length(x) > 1 THEN replace(x[2:-2], '""', '"') WHEN x LIKE '''%''' AND length(x) > 1 THEN replace(x[2:-2], '''''', '''') ELSE x END)), lambda x: x <> '') AS xs FROM c)
+            SELECT rec_id, unnest(range(1, len(xs) + 1))::INT AS pos, unnest(xs) AS cabin FROM v WHERE len(xs) > 1""",
+        "p7_found": f"""
+            WITH r AS (SELECT line_id, CASE WHEN NOT regexp_full_match({line}, '{_FIELD}(?:\\t{_FIELD})*') THEN 'quoting' WHEN length(regexp_replace(regexp_replace({line}, '"(?:[^"]|"")*"', 'q', 'g'), '[^\\t]', '', 'g')) <> 11 THEN 'columns'
+                WHEN NOT regexp_matches({plain(3)}, '\\p{{L}}') OR regexp_matches(replace({plain(3)}, chr(9), ' '), '[\\x00-\\x1f\\x7f-\\x{{9f}}\\x{{fffd}}]') OR NOT {number(plain(5))} OR NOT {number(plain(9))} OR coalesce(TRY_CAST({plain(5)} AS DOUBLE), 0) > 120 THEN 'invalid' END AS reason FROM titanic_raw)
+            SELECT line_id, reason FROM r WHERE reason IS NOT NULL""",
         "p5_found": "SELECT Embarked, Survived FROM titanic GROUP BY ALL HAVING Embarked IS NOT NULL AND Survived IS NOT NULL AND count(*) > 0.02 * (SELECT count(*) FROM titanic)",
         "p5_key_quantiles": """
             WITH v AS (SELECT Embarked, Survived, Fare, row_number() OVER (PARTITION BY Embarked, Survived ORDER BY Fare) r, count(*) OVER (PARTITION BY Embarked, Survived) n FROM titanic WHERE Fare IS NOT NULL AND NOT isnan(Fare)),
