@@ -116,7 +116,7 @@ def count_chunks(foot: DataFrame, by: str | None, kinds: Mapping[str, str]) -> D
     A chunk (a row group's column) whose footer is ``enough`` is not read; what its rows belong to comes from the footer
     of ``by``, or, if the row group holds several loads, from that column alone. Of the other chunks, those of texts
     that are dictionary-encoded are read as codes and their dictionary, so a value is decoded once a chunk, not once a row;
-    the rest is decoded. ``route`` tells which way was taken: footer, dictionary or scan. Nulls and NaNs count as null.
+    any other is decoded. ``route`` tells which way was taken: footer, dictionary or scan. Nulls and NaNs count as null.
     """
     numbers = {c for c, k in kinds.items() if k in NUMBERS}
     cells = F.to_json(F.collect_list(F.struct("column", "n_rows", "n_nulls", "least", "dictionary", "enough")), {"ignoreNullFields": "false"})
@@ -170,6 +170,31 @@ def count_chunks(foot: DataFrame, by: str | None, kinds: Mapping[str, str]) -> D
     return groups.repartition(tasks, "file", "row_group").mapInPandas(run, COUNTED)
 
 
+def _exploded(df: DataFrame, by: str | None, kinds: Mapping[str, str]) -> DataFrame:
+    """(load, column, text or number, n, route): the same by a scan of Spark's, with load in its own type; counted before the shuffle."""
+    cell = lambda c, k: F.struct(F.lit(c).alias("column"), (F.lit(None) if k in NUMBERS else F.col(f"`{c}`")).cast("string").alias("text"), (F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`")) if k in NUMBERS else F.lit(None)).cast("double").alias("number"))
+    load = F.col(f"`{by}`") if by else F.lit(None).cast("string")
+    parts = F.array(*[cell(c, k) for c, k in kinds.items()])
+    return df.select(load.alias("load"), F.explode(parts).alias("p")).groupBy("load", "p.column", "p.text", "p.number").agg(F.count(F.lit(1)).alias("n")).withColumn("route", F.lit("scan"))
+
+
+def count_files(df: DataFrame, foot: DataFrame, by: str | None, kinds: Mapping[str, str]) -> DataFrame:
+    """``count_chunks`` where footers or dictionaries serve all of a file's chunks of a column, a scan of the column in that file where they don't.
+
+    Numbers have no dictionary that pays, so those that footers don't tell are scanned by Spark, as are texts of plain pages.
+    """
+    numbers = [c for c, k in kinds.items() if k in NUMBERS]
+    cheap = F.col("enough") | (F.col("dictionary") & ~F.col("column").isin(numbers) if numbers else F.col("dictionary"))
+    needs = foot.groupBy("file", "column").agg(F.bool_and(cheap).alias("cheap"))
+    groups = needs.where("not cheap").groupBy("file").agg(F.sort_array(F.collect_list("column")).alias("cs")).groupBy("cs").agg(F.collect_list("file").alias("files")).collect()  # as long as the file list the driver plans with
+    kind = df.schema[by].dataType if by else None
+    out = count_chunks(foot.join(needs.where("cheap").select("file", "column"), ["file", "column"], "left_semi"), by, kinds)
+    out = out.withColumn("load", F.col("load").cast(kind) if by else F.col("load"))
+    for g in groups:
+        out = out.unionByName(_exploded(df.sparkSession.read.schema(df.schema).parquet(*g["files"]), by, {c: kinds[c] for c in g["cs"]}))
+    return out
+
+
 def table_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column of a whole table: ``n_rows``, ``n_nulls``, ``null_rate``, ``least``, ``most`` (numbers as numbers in
     ``low``/``high``), ``n_distinct``, and by which way chunks came in: ``from_footer``, ``from_dictionary``, ``from_scan``.
@@ -184,12 +209,11 @@ def table_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     files = plain_files(df)
     names = list(kinds)
     if files:
-        foot = read_footers(df.sparkSession, files, names, None).withColumn("enough", _enough(kinds)).persist()
-        counted = cut(count_chunks(foot, None, kinds).groupBy("column", "text", "number").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("route") == w, F.col("n"))).alias(w) for w in ("footer", "dictionary", "scan")]))
+        foot = cut(read_footers(df.sparkSession, files, names, None).withColumn("enough", _enough(kinds)))
+        raw = count_files(df, foot, None, kinds)
     else:
-        foot = None
-        parts = F.array(*[F.struct(F.lit(c).alias("column"), (F.lit(None) if k in NUMBERS else F.col(f"`{c}`")).cast("string").alias("text"), (F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`")) if k in NUMBERS else F.lit(None)).cast("double").alias("number")) for c, k in kinds.items()])
-        counted = df.select(F.explode(parts).alias("p")).groupBy("p.column", "p.text", "p.number").agg(F.count(F.lit(1)).alias("n"), *[(F.count(F.lit(1)) if w == "scan" else F.lit(None).cast("long")).alias(w) for w in ("footer", "dictionary", "scan")])
+        foot, raw = None, _exploded(df, None, kinds)
+    counted = cut(raw.groupBy("column", "text", "number").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("route") == w, F.col("n"))).alias(w) for w in ("footer", "dictionary", "scan")]))
     empty = F.col("text").isNull() & F.col("number").isNull()
     stats = counted.groupBy("column").agg(
         F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(empty, F.col("n"))), F.lit(0)).alias("n_nulls"), F.min("text").alias("least"), F.max("text").alias("most"),
@@ -257,7 +281,7 @@ def _bin(value: Column, kind: str) -> Column:
 def value_counts_by_load(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     """(load, column, value, n, n_footer, n_dictionary): counts of known values, and how many rows footers or dictionaries told of.
 
-    A frame that is the plain rows of Parquet files is counted chunk by chunk (``count_chunks``); any other - with a
+    A frame that is the plain rows of Parquet files is counted by ``count_files``; any other - with a
     filter, a limit or a computed column - is aggregated as it stands. Either way values are judged known or not after they
     are counted, once each.
     """
@@ -265,16 +289,15 @@ def value_counts_by_load(df: DataFrame, by: str, columns: Sequence[str]) -> Data
     columns = [c for c in columns if c in kinds]
     own = {c: kinds[c] for c in columns}
     files = plain_files(df) if columns and kinds[by] in WHOLE and all(k in PLAIN for k in own.values()) else []
-    if files:
-        foot = read_footers(df.sparkSession, files, columns, by).withColumn("enough", _enough(own))
-        raw = count_chunks(foot, by, own)
-        told = lambda w: F.coalesce(F.sum(F.when(F.col("route") == w, F.col("n"))), F.lit(0))
-        raw = raw.groupBy(F.col("load").cast(kinds[by]).alias("load"), "column", "text", "number").agg(F.sum("n").alias("n"), told("footer").alias("n_footer"), told("dictionary").alias("n_dictionary"))
-    elif not columns:
+    if not columns:
         return df.sparkSession.createDataFrame([], f"load {kinds[by]}, column string, value string, n long, n_footer long, n_dictionary long")
+    if files:
+        foot = cut(read_footers(df.sparkSession, files, columns, by).withColumn("enough", _enough(own)))
+        raw = count_files(df, foot, by, own)
     else:
-        parts = F.array(*[F.struct(F.lit(c).alias("column"), (F.lit(None) if k in NUMBERS else F.col(f"`{c}`")).cast("string").alias("text"), (F.col(f"`{c}`") if k in NUMBERS else F.lit(None)).cast("double").alias("number")) for c, k in own.items()])
-        raw = df.select(F.col(f"`{by}`").alias("load"), F.explode(parts).alias("p")).groupBy("load", "p.column", "p.text", "p.number").agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("n_footer"), F.lit(0).cast("long").alias("n_dictionary"))
+        raw = _exploded(df, by, own)
+    told = lambda w: F.coalesce(F.sum(F.when(F.col("route") == w, F.col("n"))), F.lit(0))
+    raw = raw.groupBy("load", "column", "text", "number").agg(F.sum("n").alias("n"), told("footer").alias("n_footer"), told("dictionary").alias("n_dictionary"))
     value = F.coalesce(_known("text", "string"), _known("number", "double").cast("string"))
     return raw.groupBy("load", "column", value.alias("value")).agg(*[F.sum(c).alias(c) for c in ("n", "n_footer", "n_dictionary")])
 
