@@ -26,7 +26,7 @@ def _dot(cols: Sequence[Column], weights: Sequence[float]) -> Column:
 
 
 class KNearestNeighbors(Model):
-    """Majority of the ``k`` nearest training rows (Euclid); ties go to the class with the nearest one.
+    """Majority of the ``k`` nearest training rows (Euclid); ties go to the class with the nearest one, equal distances to the smaller label.
 
     Up to ``block`` training rows are broadcast. More are dealt into blocks, and query points into parts, that meet
     pair by pair in tasks of their own. Rows without a feature get no prediction.
@@ -108,11 +108,12 @@ def nearest(q: np.ndarray, ids: np.ndarray | None, points: np.ndarray, labels: n
         for r, key in enumerate(ids[at : at + 512] if own else []):
             d[r, own.get(key, [])] = np.inf
         m = min(k, d.shape[1])
-        near = np.argpartition(d, m - 1, axis=1)[:, :m] if m else np.zeros((len(part), 0), int)
-        for r, idx in enumerate(near):
-            idx = idx[np.isfinite(d[r, idx])] if own else idx
+        # As far as the k-th nearest, and those as far as it up to rounding: which of equal ones come first is for their labels to say.
+        reach = np.partition(d, m - 1, axis=1)[:, m - 1] if m else np.zeros(len(part))
+        for r, limit in enumerate(reach):
+            idx = np.flatnonzero((d[r] <= limit * (1 + 1e-9) + 1e-9) & np.isfinite(d[r])) if m else np.zeros(0, int)
             exact = ((points[idx] - part[r]) ** 2).sum(axis=1)
-            out.append([] if np.isnan(part[r]).any() else [{"d": float(v), "l": int(n)} for v, n in sorted((v, labels[i]) for v, i in zip(exact, idx))])
+            out.append([] if np.isnan(part[r]).any() else [{"d": float(v), "l": int(n)} for v, n in sorted((v, labels[i]) for v, i in zip(exact, idx))[:m]])
     return out
 
 

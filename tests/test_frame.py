@@ -188,6 +188,6 @@ def test_two_digit_years_of_all_rows(spark, ctx):
     assert read(last_year=1999)[3] is None and read()[0] == date(2079, 11, 4)
     d = "/root/testdata/sf0.001"
     rows = {r["tap_id"]: r["DATANASCIMENTO"] for r in spark.read.parquet(f"{d}/ticketing.parquet").collect()}
-    got = {r["tap_id"]: r["born"] for r in queries()["map_to_datetime_all"](spark, d).collect()}
+    got = {r["tap_id"]: r["born"] for r in queries()["map_to_datetime"](spark, d).collect()}
     assert got.keys() == rows.keys() and {k for k, v in got.items() if v} == {k for k, v in rows.items() if v}
     assert all(v.strftime("%d/%m/%y") == rows[k] and 1925 <= v.year <= 2024 for k, v in got.items() if v)

@@ -90,7 +90,8 @@ def test_evaluators(ctx):
     r = RegressionMetrics(["x"], "y", "p", frame(ctx, {"x": y, "y": y, "p": p}, None))
     e = np.array(y) - np.array(p)
     assert np.isclose(r.mse, (e**2).sum() / 5) and np.isclose(r.mae, np.abs(e).sum() / 5)
-    assert np.isclose(r.msr, ((np.array(p) - np.mean(y)) ** 2).sum())
+    y, p = np.array(y, float), np.array(p, float)
+    assert np.isclose(r.msr, ((y - y.mean()) ** 2).sum() - ((y - p) ** 2).sum())
 
 
 def test_supervised(ctx):
@@ -159,12 +160,12 @@ def test_embeddings_by_all_dimensions_and_rows(spark):
     e, labels = np.array([r["embedding"] for r in rows], float), np.array([r["label"] for r in rows])
     far = ((e[:, None, :] - e[None, :, :]) ** 2).sum(axis=2)
     np.fill_diagonal(far, np.inf)
-    assert {r["vec_id"]: r["p"] for r in queries()["knn_all"](spark, d).collect()} == {r["vec_id"]: labels[i] for r, i in zip(rows, far.argmin(axis=1))}
+    assert {r["vec_id"]: r["p"] for r in queries()["knn"](spark, d).collect()} == {r["vec_id"]: labels[i] for r, i in zip(rows, far.argmin(axis=1))}
     kinds = np.unique(labels)
     means, spread = (np.array([f(e[labels == k], axis=0) for k in kinds]) for f in (np.mean, np.var))
     spread += 1e-9 * spread.max()
     scores = -0.5 * (np.log(2 * np.pi * spread)[None] + (e[:, None, :] - means[None]) ** 2 / spread[None]).sum(axis=2)
-    assert {r["vec_id"]: r["p"] for r in queries()["gaussian_nb_all"](spark, d).collect()} == {r["vec_id"]: kinds[i] for r, i in zip(rows, scores.argmax(axis=1))}
+    assert {r["vec_id"]: r["p"] for r in queries()["gaussian_nb"](spark, d).collect()} == {r["vec_id"]: kinds[i] for r, i in zip(rows, scores.argmax(axis=1))}
 
 
 def test_bayes_refuses_too_many_classes(spark):
@@ -173,3 +174,36 @@ def test_bayes_refuses_too_many_classes(spark):
 
     with pytest.raises(ValueError):
         GaussianNB().fit(Frame(spark.range(10_001).selectExpr("id AS y", "double(id) AS a")), ["a"], "y")
+
+
+def test_knn_in_blocks_is_knn(ctx):
+    """More training rows than one block: dealt into pairs of blocks and parts, with repeated points, a gap and own ids left out."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(240, 2)), 2)
+    x[:20] = x[20:40]
+    data = pd.DataFrame({"id": range(240), "a": x[:, 0], "b": x[:, 1], "y": rng.integers(0, 3, 240)})
+    f = ctx.parallelize(data, 3)
+    asked = ctx.parallelize(data.assign(a=[np.nan if i == 7 else v for i, v in enumerate(data["a"])]), 2)
+    found = {}
+    for block in (50_000, 40):
+        for own in (None, "id"):
+            m = KNearestNeighbors(1)
+            m.block = block
+            found[block, own] = {r["id"]: r["prediction_kNN"] for r in m.fit(f, ["a", "b"], "y", id_col=own).transform(asked).df.collect()}
+    assert found[50_000, None] == found[40, None] and found[50_000, "id"] == found[40, "id"] and len(found[40, "id"]) == 240
+    assert found[40, None][7] is None and all(found[40, None][i] == data["y"][i] for i in range(40, 240))
+
+
+def test_points_on_shared_borders_are_in_one_polygon(ctx):
+    squares = ctx.spark.createDataFrame([(10 * i + j, [[float(i), float(j)], [float(i), j + 1.0], [i + 1.0, j + 1.0], [i + 1.0, float(j)]]) for i in range(2) for j in range(2)], "area long, points array<array<double>>")
+    points = frame(ctx, {"lat": [0.0, 0.0, 1.0, 1.0, 2.0, 0.5, None], "lon": [0.0, 1.0, 0.0, 1.0, 1.0, 2.0, 1.0], "k": range(7)}, None)
+    got = points.geo_within(Frame(squares), "lat", "lon", attributes=["area"])
+    assert {r["k"]: r["area"] for r in got.df.collect()} == {0: 0, 1: 1, 2: 10, 3: 11, 4: None, 5: None, 6: None}
+    assert "Exchange" not in got.df._jdf.queryExecution().optimizedPlan().toString() and "Aggregate" not in got.df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_msr_is_that_of_the_explained_sum(ctx):
+    y, p = np.array([1.0, 2.0, 4.0, 7.0, 8.0]), np.array([1.5, 2.0, 3.0, 7.5, 9.0])
+    m = RegressionMetrics(["a"], "y", "p", frame(ctx, {"y": y, "p": p}, None))
+    sst, sse = ((y - y.mean()) ** 2).sum(), ((y - p) ** 2).sum()
+    assert m.msr == pytest.approx(sst - sse) and m.get_metrics()["Metric"].tolist()[-1] == "Mean Square of Regression (MSR)"
