@@ -102,38 +102,110 @@ class Kmeans(Model):
         return emit(work, {pred_col: F.when(~F.exists(tmp, lambda v: v.isNull()), (F.array_position(tmp, F.array_min(tmp)) - 1).cast("int"))}, [tmp], True)
 
 
-def _density_clusters(df: DataFrame, cells: Sequence[Column], near: Callable[[str, str], Column], measures: Mapping[str, Column], min_pts: int, pred: str) -> DataFrame:
-    """DBSCAN: rows meet the rows of their own and neighbouring grid cells, so no pair farther than a cell apart is formed.
+def _gaps(a: Sequence[tuple[Column, Column]], b: Sequence[tuple[Column, Column]]) -> list[Column]:
+    """By measure, how far two boxes, given by their (least, greatest), are apart at least."""
+    return [F.greatest(q[0] - p[1], p[0] - q[1], F.lit(0.0)) for p, q in zip(a, b)]
+
+
+def _spans(a: Sequence[tuple[Column, Column]], b: Sequence[tuple[Column, Column]]) -> list[Column]:
+    """By measure, how far rows of two boxes are apart at most."""
+    return [F.greatest(q[1] - p[0], p[1] - q[0]) for p, q in zip(a, b)]
+
+
+def _density_clusters(df: DataFrame, grid: Sequence[tuple[float, float]], near: Callable, within: Callable, maybe: Callable, measures: Mapping[str, Column], min_pts: int, pred: str) -> DataFrame:
+    """DBSCAN on a grid whose cells are so small that all rows of one are within reach of each other.
 
     A row with at least ``min_pts`` rows within reach (itself included) is a core; cores within reach are
-    connected; other rows within reach of a core join the smallest such cluster; the rest are noise, -1. Rows with a
-    null measure are noise. Equal points are one point with a weight until the end, so
-    copies never form pairs.
+    connected; clusters are numbered from their smallest core; other rows within reach of a core join the cluster of the
+    smallest number; the rest are noise, -1. Rows with a null, NaN or infinite measure are noise. Equal points are one point
+    with a weight until the end.
+
+    The rows of a cell that has ``min_pts`` of them are cores without a comparison, so only rows of thinner cells are compared with those of
+    the cells around. The cores of a cell are in one cluster, so cells are the nodes that are connected: by their boxes or outermost
+    cores; where these don't tell and the cells aren't connected by way of others, by their cores that are near the other's box.
+
+    ``grid`` has by measure how far rows within reach are apart at most, and a cell's side (0: a cell a value). ``near`` compares two points;
+    ``within`` and ``maybe`` tell from distances by measure whether all pairs, and whether any, can be within reach.
     """
-    rid = free_name("__fw_rid", df.columns)
-    work = df.withColumns({f"__fw_m{i}": c for i, c in enumerate(measures.values())})
     m = [f"__fw_m{i}" for i in range(len(measures))]
+    work = df.withColumns(dict(zip(m, measures.values())))
+    g = [f"__fw_g{i}" for i in range(len(m))]
+    lo, hi = [f"__fw_lo{i}" for i in range(len(m))], [f"__fw_hi{i}" for i in range(len(m))]
+    steps = list(itertools.product(*[(-1, 0, 1) if side else (0,) for _, side in grid]))
+    at, fine, coarse = F.lit(True), [], []
+    for c, (reach, side) in zip(m, grid):
+        # Beyond 1e10 sides rounding could make a cell too wide: there every point is a cell.
+        to = F.greatest(F.least(F.col(c) / side, F.lit(1e14)), F.lit(-1e14)) if side else F.col(c)
+        at = at & (F.abs(to) < 1e10) if side else at
+        fine.append(F.floor(to) if side else to)
+        coarse.append(F.floor(F.floor(to) / float(math.ceil(reach / side))) if side else to)
     ok = F.lit(True)
     for c in m:
-        ok = ok & F.col(c).isNotNull()
-    points = work.where(ok).groupBy(*m).agg(F.count(F.lit(1)).alias("__fw_w"))
-    points = cut(points.withColumn("node", F.xxhash64(*m)).withColumns({f"__fw_g{i}": c for i, c in enumerate(cells)}))
-    g = [f"__fw_g{i}" for i in range(len(cells))]
-    steps = list(itertools.product((-1, 0, 1), repeat=len(g)))
-    spread = points.select(*[F.col(c).alias(f"a_{c}") for c in m], F.col("node").alias("a"), F.explode(F.array(*[F.struct(*[(F.col(c) + o).alias(c) for c, o in zip(g, step)]) for step in steps])).alias("s")).select("*", "s.*").drop("s")
-    other = points.select(*[F.col(c).alias(f"b_{c}") for c in m], F.col("node").alias("b"), F.col("__fw_w").alias("w"), *g)
-    pairs = cut(spread.join(other, g).where(near("a_", "b_")).select("a", "b", "w"))
-    core = cut(pairs.groupBy("a").agg(F.sum("w").alias("n")).where(F.col("n") >= min_pts).select(F.col("a").alias("node")))
-    links = pairs.join(core.select(F.col("node").alias("a")), "a", "left_semi").join(core.select(F.col("node").alias("b")), "b", "left_semi").where("a <> b").select("a", "b")
-    label = connected_components(core, links)
-    border = pairs.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("component")).select(F.col("a").alias("node"), "component")
-    own = border.join(label.select("node", F.col("component").alias("core")), "node", "left").select("node", F.coalesce("core", "component").alias("component"))
-    order = own.select("component").distinct()
-    first = own.join(points.select("node", F.struct(*m).alias("p")), "node").groupBy("component").agg(F.min("p").alias("p"))
-    number = cut(with_position(order.join(first, "component").orderBy("p"), "k").select("component", "k"))
-    named = points.select("node", *m).join(own.join(number, "component").select("node", "k"), "node", "left").drop("node")
+        ok = ok & (F.abs(F.col(c)) < math.inf)
+    points = work.where(ok).groupBy(*m).agg(F.count(F.lit(1)).alias("w"))
+    points = cut(points.select(*m, "w", F.xxhash64(*m).alias("node"), F.when(at, F.xxhash64(*fine)).otherwise(F.xxhash64(F.lit("point"), *m)).alias("cell"), *[c.alias(n) for c, n in zip(coarse, g)]))
+
+    def point(prefix: str = "") -> list[Column]:
+        return [F.col(prefix + c) for c in m]
+
+    def dot(prefix: str = "") -> list[tuple[Column, Column]]:
+        return [(c, c) for c in point(prefix)]
+
+    def box(prefix: str) -> list[tuple[Column, Column]]:
+        return [(F.col(prefix + a), F.col(prefix + b)) for a, b in zip(lo, hi)]
+
+    def boxes(rows: DataFrame, **more: Column) -> DataFrame:
+        ends = [f(c).alias(n) for f, to in ((F.min, lo), (F.max, hi)) for c, n in zip(m, to)]
+        return cut(rows.groupBy("cell", *g).agg(*ends, *[c.alias(n) for n, c in more.items()]))
+
+    def prefixed(rows: DataFrame, prefix: str) -> DataFrame:
+        return rows.select(*[F.col(c).alias(prefix + c) for c in rows.columns])
+
+    def around(some: DataFrame, other: DataFrame) -> DataFrame:
+        """Cells a_ with the cells b_ that may have rows within reach."""
+        moved = F.explode(F.array(*[F.struct(*[(F.col(f"a_{c}") + o if o else F.col(f"a_{c}")).alias(f"b_{c}") for c, o in zip(g, step)]) for step in steps]))
+        spread = prefixed(some, "a_").withColumn("s", moved).select("*", "s.*").drop("s")
+        return spread.join(prefixed(other, "b_"), [f"b_{c}" for c in g]).where(maybe(_gaps(box("a_"), box("b_"))))
+
+    cells = boxes(points, w=F.sum("w"))
+    thin = points.join(cells.where(F.col("w") < min_pts).select("cell"), "cell", "left_semi").select("cell", "node", *m)
+    beside = cut(around(cells.where(F.col("w") < min_pts), cells).select(F.col("a_cell").alias("cell"), "b_cell", "b_w", *[f"b_{c}" for c in (*lo, *hi)]))
+    met = cut(thin.join(beside, "cell").where(maybe(_gaps(dot(), box("b_")))).select("node", *m, "b_cell", "b_w", within(_spans(dot(), box("b_"))).alias("all")))
+    one = met.where(~F.col("all")).select("node", *m, "b_cell").join(prefixed(points.select("cell", "w", *m), "b_"), "b_cell").where(near(point(), point("b_"))).groupBy("node").agg(F.sum("b_w").alias("n"))
+    many = met.where("all").groupBy("node").agg(F.sum("b_w").alias("n"))
+    core = one.union(many).groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pts).select("node")
+    dense = points.join(cells.where(F.col("w") >= min_pts).select("cell"), "cell", "left_semi")
+    cores = cut(dense.select("cell", "node", *m, *g).union(points.join(core, "node", "left_semi").select("cell", "node", *m, *g)))
+
+    p = F.struct(*m)
+    tips = F.array(*[f(p, c) for c in m for f in (F.min_by, F.max_by)])
+    held = boxes(cores, first=F.min(p), tips=tips)
+    touch = F.exists("a_tips", lambda u: F.exists("b_tips", lambda v: near([u[c] for c in m], [v[c] for c in m])))
+    pairs = cut(around(held, held).where("a_cell < b_cell").select(F.col("a_cell").alias("a"), F.col("b_cell").alias("b"), (within(_spans(box("a_"), box("b_"))) | touch).alias("linked")))
+    label = connected_components(held.select(F.col("cell").alias("node")), pairs.where("linked").select("a", "b"))
+    ends = [label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")) for c in ("a", "b")]
+    unsure = cut(pairs.where(~F.col("linked")).select("a", "b").join(ends[0], "a").join(ends[1], "b").where("a_in <> b_in"))
+    if not unsure.isEmpty():
+
+        def facing(c: str, to: str) -> DataFrame:
+            other = held.select(F.col("cell").alias(to), *lo, *hi)
+            here = unsure.select("a", "b").join(other, to).join(cores.select(F.col("cell").alias(c), *m), c)
+            return here.where(maybe(_gaps(dot(), box("")))).select("a", "b", *[F.col(x).alias(f"{c}_{x}") for x in m])
+
+        linked = facing("a", "b").join(facing("b", "a"), ["a", "b"]).where(near(point("a_"), point("b_"))).select("a", "b").distinct()
+        joined = connected_components(label.select(F.col("component").alias("node")).distinct(), linked.join(unsure, ["a", "b"]).select(F.col("a_in").alias("a"), F.col("b_in").alias("b")))
+        label = label.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component").select("node", F.col("whole").alias("component"))
+
+    label = cut(held.join(label.withColumnRenamed("node", "cell"), "cell").select("cell", "component", "first", *lo, *hi))
+    order = cut(label.groupBy("component").agg(F.min("first").alias("first")).orderBy("first"))
+    label = cut(label.join(with_position(order, "k").select("component", "k"), "component").select(F.col("cell").alias("b_cell"), "k", *lo, *hi))
+    rest = met.join(cores.select("node"), "node", "left_anti").select("node", *m, "b_cell").join(label, "b_cell")
+    rest = cut(rest.where(maybe(_gaps(dot(), box("")))).select("node", *m, "b_cell", "k", within(_spans(dot(), box(""))).alias("all")))
+    beyond = rest.where(~F.col("all")).join(prefixed(cores.select("cell", *m), "b_"), "b_cell").where(near(point(), point("b_")))
+    border = rest.where("all").select(*m, "k").union(beyond.select(*m, "k")).groupBy(*m).agg(F.min("k").alias("k"))
+    named = border.union(cores.withColumnRenamed("cell", "b_cell").join(label, "b_cell").select(*m, "k"))
     out = work.join(named, m, "left")
-    return out.select(*[x(c) for c in df.columns if c != pred], F.coalesce("k", F.lit(-1)).cast("int").alias(pred)).drop(rid)
+    return out.select(*[x(c) for c in df.columns if c != pred], F.coalesce("k", F.lit(-1)).cast("int").alias(pred))
 
 
 class DBSCAN(Model):
@@ -144,14 +216,17 @@ class DBSCAN(Model):
 
     def fit_predict(self, data: Frame) -> Frame:
         df = spark_df(data)
-        k = len(self.feature_col)
-        cells = [F.floor(F.col(f"__fw_m{i}") / F.lit(float(self.eps))) for i in range(k)]
+        eps = abs(float(self.eps))
+        grid = [(eps * (1 + 1e-9), eps / math.sqrt(len(self.feature_col)) * (1 - 1e-5))] * len(self.feature_col)
+
+        def within(far: Sequence[Column]) -> Column:
+            return sum((F.pow(c, 2) for c in far), F.lit(0.0)) <= self.eps**2
 
-        def near(a: str, b: str) -> Column:
-            return sum((F.pow(F.col(f"{a}__fw_m{i}") - F.col(f"{b}__fw_m{i}"), 2) for i in range(k)), F.lit(0.0)) <= self.eps**2
+        def near(a: Sequence[Column], b: Sequence[Column]) -> Column:
+            return within([p - q for p, q in zip(a, b)])
 
-        measures = {c: F.when(~F.isnan(x(c).cast("double")), x(c).cast("double") + F.lit(0.0)) for c in self.feature_col}
-        return Frame(_density_clusters(df, cells, near, measures, self.min_pts, self.pred_col))
+        measures = {c: x(c).cast("double") + F.lit(0.0) for c in self.feature_col}
+        return Frame(_density_clusters(df, grid, near, within, within, measures, self.min_pts, self.pred_col))
 
     def fit(self, data, *_):
         return self
@@ -169,19 +244,27 @@ class STDBSCAN:
 
     def fit_predict(self, data: Frame) -> Frame:
         df = spark_df(data)
-        row = df.agg(F.max(F.abs(x(self.lat_col).cast("double")))).first()
+        lat = F.abs(x(self.lat_col).cast("double"))
+        row = df.agg(F.max(F.when(lat < math.inf, lat))).first()
         top = min(float(row[0] or 0.0) + 1e-9, 89.9)
         step_lat = math.degrees(self.spatial_threshold / 6_371_000.0) * 1.0001
         step_lon = step_lat / math.cos(math.radians(min(top + step_lat, 89.9)))
         seconds = self.temporal_threshold * 60.0
-        cells = [F.floor(F.col("__fw_m0") / step_lat), F.floor(F.col("__fw_m1") / step_lon), F.floor(F.col("__fw_m2") / (seconds or 1.0))]
+        degrees = math.degrees(self.spatial_threshold / 6_371_000.0)
+        side = degrees / math.sqrt(2) * (1 - 1e-5)  # a degree of longitude is nowhere longer than one of latitude
+        grid = [(step_lat, side), (step_lon, side), (seconds, seconds * (1 - 1e-5))]
+
+        def near(a: Sequence[Column], b: Sequence[Column]) -> Column:
+            return (F.abs(a[2] - b[2]) <= seconds) & (haversine(a[0], a[1], b[0], b[1]) <= self.spatial_threshold)
+
+        def within(far: Sequence[Column]) -> Column:
+            return (far[2] <= seconds) & (F.hypot(far[0], far[1]) <= degrees * (1 - 1e-6))
 
-        def near(a: str, b: str) -> Column:
-            gap = F.abs(F.col(f"{a}__fw_m2") - F.col(f"{b}__fw_m2")) <= seconds
-            return gap & (haversine(F.col(f"{a}__fw_m0"), F.col(f"{a}__fw_m1"), F.col(f"{b}__fw_m0"), F.col(f"{b}__fw_m1")) <= self.spatial_threshold)
+        def maybe(far: Sequence[Column]) -> Column:
+            return (far[0] <= step_lat) & (far[1] <= step_lon) & (far[2] <= seconds)
 
         measures = {"lat": x(self.lat_col).cast("double"), "lon": x(self.lon_col).cast("double"), "t": F.unix_micros(x(self.datetime).cast("timestamp")) / 1e6}
-        return Frame(_density_clusters(df, cells, near, measures, self.min_pts, self.pred_col))
+        return Frame(_density_clusters(df, grid, near, within, maybe, measures, self.min_pts, self.pred_col))
 
 
 def st_dbscan(data: Frame, settings: Mapping[str, object]) -> Frame:

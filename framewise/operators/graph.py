@@ -42,17 +42,19 @@ class PageRank:
 def connected_components(nodes: DataFrame, links: DataFrame, max_iter: int = 100) -> DataFrame:
     """(node, component): the smallest node reachable over undirected ``links`` (a, b).
 
-    Labels spread to neighbours and then jump to their label's label, so the steps grow with the
-    logarithm of a path's length, not with the path. Labels still moving after ``max_iter`` steps are an error.
+    Every node points to a smaller one or itself. In a step a node, and the node that it points to, turn to the smallest that a neighbour's
+    target points to, and then to their target's target. So not only the border of a region moves but its root, and the steps grow
+    with the logarithm of a path's length, not with the path. Labels still moving after ``max_iter`` steps are an error.
     """
     both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    label = cut(nodes.select("node", F.col("node").alias("component")))
+    label = cut(nodes.select("node", F.col("node").alias("component"), F.col("node").alias("up")))
     for _ in range(max_iter):
-        seen = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("c"))
-        one = label.join(seen, label["node"] == seen["a"], "left").select("node", F.least("component", F.coalesce("c", "component")).alias("component"), F.col("component").alias("old"))
-        jump = one.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
-        two = cut(one.join(jump, one["component"] == jump["n2"], "left").select("node", F.least("component", F.coalesce("c2", "component")).alias("component"), "old"))
-        label = two.select("node", "component")
+        seen = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("up").alias("c"))
+        one = cut(label.join(seen, label["node"] == seen["a"], "left").select("node", "component", F.least("up", F.coalesce("c", "up")).alias("c")))
+        hook = one.groupBy(F.col("component").alias("root")).agg(F.min("c").alias("h"))
+        two = cut(one.join(hook, one["node"] == hook["root"], "left").select("node", F.least("component", "c", F.coalesce("h", "c")).alias("component"), F.col("component").alias("old")))
         if two.where("component < old").isEmpty():
-            return label
+            return two.select("node", "component")
+        jump = two.select(F.col("node").alias("n2"), F.col("component").alias("up"))
+        label = cut(two.join(jump, two["component"] == jump["n2"]).select("node", "component", "up"))
     raise RuntimeError(f"the components have not settled after {max_iter} steps")

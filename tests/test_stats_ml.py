@@ -135,6 +135,55 @@ def test_st_dbscan(ctx):
     assert sorted(out["cluster"].value_counts().to_dict().items()) == [(-1, 1), (0, 10), (1, 10)]
 
 
+def by_pairs(points, reach, min_pts):
+    """DBSCAN over the matrix of ``reach``: clusters are numbered from their smallest core, shared borders go to the smallest number."""
+    core, out, k = reach.sum(axis=1) >= min_pts, np.full(len(points), -1), 0
+    for i in sorted(np.flatnonzero(core), key=lambda i: tuple(points[i])):
+        if out[i] < 0:
+            todo, out[i] = [i], k
+            while todo:
+                new = np.flatnonzero(reach[todo.pop()] & core & (out < 0))
+                out[new] = k
+                todo += list(new)
+            k += 1
+    for i in np.flatnonzero(~core):
+        out[i] = min(out[reach[i] & core], default=-1)
+    return out
+
+
+def test_dbscan_of_a_long_chain(ctx):
+    """One cluster, 4,000 steps from end to end."""
+    f = frame(ctx, [(float(i),) for i in range(4000)], ["a"], 3)
+    assert DBSCAN(["a"], "k", eps=1.0, min_pts=2).fit_predict(f).df.groupBy("k").count().collect() == [(0, 4000)]
+
+
+def test_dbscan_against_all_pairs(ctx):
+    rng = np.random.default_rng(5)
+    shared = np.array([[100 + 10 * i + d, 0] for i in range(8) for d in (0, 0.1, 0.2, 1.1, 2.0, 2.1, 2.2)])  # 1.1 is a border of both sides
+    facing = np.vstack([rng.uniform([50, 0], [50.5, 6], (150, 2)), rng.uniform([51.48, 0], [52, 6], (150, 2)), rng.uniform([53.1, 0], [53.5, 6], (100, 2))])
+    flat = np.vstack([shared, facing, rng.normal(0, 0.05, (200, 2)), rng.uniform(-8, 8, (300, 2)), [[3e11, 0], [3e11, 0.5], [3e11, 1], [3e11, 1.5]], np.repeat([[30, 30], [30.5, 30]], 3, axis=0)])
+    for points in (flat, rng.uniform(0, 6, (400, 3)), np.round(rng.uniform(0, 300, (300, 1)))):
+        reach = ((points[:, None] - points[None]) ** 2).sum(axis=2) <= 1
+        names = list("abc")[: points.shape[1]]
+        rows = [(i, *map(float, p)) for i, p in enumerate(points)]
+        odd = [(len(rows) + i, *[v] * len(names)) for i, v in enumerate([None, None, None, None, *[math.nan] * 4, *[math.inf] * 4])]
+        out = DBSCAN(names, "k", eps=1.0, min_pts=4).fit_predict(frame(ctx, rows + odd, ["i", *names], 3)).df.select("i", "k").collect()
+        found = [k for _, k in sorted(map(tuple, out))]
+        assert found == [*by_pairs(points, reach, 4), *[-1] * len(odd)]
+
+
+def test_st_dbscan_against_all_pairs(ctx):
+    rng = np.random.default_rng(6)
+    t = pd.Timestamp("2020-01-01")
+    points = np.vstack([np.column_stack([rng.uniform(lat, lat + 0.05, 150), rng.uniform(-49, -48.9, 150), rng.integers(0, 60, 150)]) for lat in (-25.4, 60.0)])
+    lat, lon = np.radians(points[:, 0]), np.radians(points[:, 1])
+    h = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+    reach = (2 * 6_371_000 * np.arcsin(np.sqrt(h)) <= 900) & (abs(points[:, 2][:, None] - points[:, 2]) <= 15)
+    f = frame(ctx, [(i, float(a), float(b), t + pd.Timedelta(minutes=int(m))) for i, (a, b, m) in enumerate(points)], ["i", "lat", "lon", "at"], 3)
+    out = st_dbscan(f, {"lat_col": "lat", "lon_col": "lon", "datetime": "at", "spatial_threshold": 900, "temporal_threshold": 15, "minPts": 4}).df
+    assert [k for _, k in sorted(map(tuple, out.select("i", "cluster").collect()))] == list(by_pairs(points, reach, 4))
+
+
 def test_graph(ctx, spark):
     r = PageRank(0.85, 30).transform(frame(ctx, [(1, 2), (2, 3), (3, 1), (4, 1)], ["s", "d"]), "s", "d").to_df().set_index("Vertex")["Rank"]
     assert r[4] == 1.0 and np.isclose(r[1], 0.15 + 0.85 * (r[3] + 1.0), rtol=0.05)
